@@ -10,7 +10,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Spark drops the shuffle files of a finished write at once, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -52,11 +53,13 @@ class Workspace:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, let go of the shuffles behind it, and read it back."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        del df
-        gc.collect()
-        self.spark._jvm.System.gc()  # the context cleaner drops shuffle files whose plans are gone
+        """Write df, drop the shuffle files behind it, and read it back."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
