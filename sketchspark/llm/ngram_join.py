@@ -9,6 +9,8 @@ set gives one signature.  At most k ranges can differ, so with n1 = k + 1 + slac
 linked sets share a signature unless *both* have more than ``slack`` empty ranges; such
 sets also sign their empty ranges.  For small sets the domain has k + 2 ranges and every
 subset of 2 of them is signed.  A set within reach of the next band signs there too.
+The same count gives how many signatures a link needs at least; sets that share fewer
+with all others together are dropped, so a common passage joins no clusters.
 
 Execution: signatures move once, as packed arrays (`common.packed`).  Sets that share a
 signature form candidate clusters (connected components of set - signature pivot edges).
@@ -97,7 +99,7 @@ def bands(percent: int, largest_power: int) -> list[tuple[int, int, int, int, in
         while True:
             ranges = k + 1 + slack
             empty = ranges * math.exp(-least / ranges)
-            need = math.ceil(empty + 4 * math.sqrt(empty) + 1)
+            need = math.ceil(empty + 4 * math.sqrt(empty) + 4)
             if need <= slack or ranges > least:
                 break
             slack += 1
@@ -123,15 +125,18 @@ def _pairs(ranges: int) -> np.ndarray:
     return np.array(list(combinations(range(ranges), 2)), np.int64)
 
 
-def signatures(found: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set: of its own band, and of the next where a linked set may lie."""
+def signatures(found: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, need, signatures) in a set's own band, and in the next where a linked set may lie.
+
+    need: as many signatures at least does a set share with any set that it links with, as
+    at most ``furthest`` ranges can differ."""
     size = len(found)
     at, table = band_index(size, percent)
     out = []
     here = [at] if size * 100 < table[at + 1][0] * percent else [at, at + 1]
     mixed = mix64(found + U64(0x5851F42D4C957F2D))
     for i in here:
-        _, _, k, ranges, slack = table[i]
+        _, high, k, ranges, slack = table[i]
         if k == 0:
             continue  # only equal sets link, and those are one class already
         part = ((found >> U64(32)) * U64(ranges)) >> U64(32)
@@ -139,26 +144,30 @@ def signatures(found: np.ndarray, percent: int) -> np.ndarray:
         full = np.flatnonzero(cut[1:] > cut[:-1])
         sums = np.zeros(ranges, U64)
         sums[full] = np.add.reduceat(mixed, cut[full])
+        alike = ranges - furthest(size, min(high, size * 100 // percent), percent)
         if slack < 0:
             two = _pairs(ranges)
             keys = sums[two[:, 0]] * U64(3) + sums[two[:, 1]] * U64(5)
             named = np.arange(len(two), dtype=U64)
+            need = alike * (alike - 1) // 2
         else:
             named = full.astype(U64) if ranges - len(full) <= slack else np.arange(ranges, dtype=U64)
             keys = sums[named.astype(np.int64)]
-        out.append(mix64(keys + mix64(named + U64(i * 0x100000001 + 1))))
-    return np.concatenate(out) if out else np.zeros(0, U64)
+            need = alike - (ranges - len(full))
+        out.append((i, max(1, need), mix64(keys + mix64(named + U64(i * 0x100000001 + 1)))))
+    return out
 
 
 def _sign(width: int, percent: int, buckets: int):
-    names = ["sig", "sid"]
+    names = ["sig", "sid", "band", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, sid, held = [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            s, d = np.concatenate(sig), np.concatenate(sid)
-            out = packed((s % U64(buckets)).astype(np.int32), {"sig": s, "sid": d})
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            out = packed((columns[0] % U64(buckets)).astype(np.int32), dict(zip(names, columns, strict=True)))
             n = out.num_rows
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *out.columns], ["id", "hi", "lo", "n_shingles", "bucket", *names])
 
@@ -173,16 +182,17 @@ def _sign(width: int, percent: int, buckets: int):
                         continue
                     hi, lo = digest(found)
                     rows.append((hi, lo, len(found)))
-                    s = signatures(found, percent)
-                    sig.append(s)
-                    sid.append(np.full(len(s), hi, np.int64))
-                    held += len(s)
+                    for band, need, s in signatures(found, percent):
+                        n = len(s)
+                        held.append((s, np.full(n, hi, np.int64), np.full(n, band, np.uint8), np.full(n, need, np.int32)))
+                        count += n
                 hi, lo, size = zip(*rows, strict=True)
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2], ["id", "hi", "lo", "n_shingles", "bucket", *names])
-                if held >= FLUSH:
+                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * len(names)], ["id", "hi", "lo", "n_shingles", "bucket", *names])
+                if count >= FLUSH:
                     yield flush()
-                    sig, sid, held = [], [], 0
+                    held.clear()
+                    count = 0
         if held:
             yield flush()
 
@@ -190,17 +200,22 @@ def _sign(width: int, percent: int, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from each set to the least set that shares a signature with it."""
-    for x in unpacked(batches, {"sig": "u8", "sid": "i8"}):
+    """The signatures that different sets share, once for each set."""
+    for x in unpacked(batches, {"sig": "u8", "sid": "i8", "band": "u1", "need": "i4"}):
         order = np.argsort(x["sig"])
+        sig = x["sig"][order]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        count = np.diff(np.r_[start, len(sig)])
+        order = order[np.repeat(count > 1, count)]
+        order = order[np.lexsort((x["sid"][order], x["sig"][order]))]
         sig, sid = x["sig"][order], x["sid"][order]
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        start = np.flatnonzero(new)
-        pivot = np.minimum.reduceat(sid, start)[np.cumsum(new) - 1]
-        linked = sid != pivot
-        if linked.any():
-            both = np.unique(np.stack([sid[linked], pivot[linked]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        once = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])][: len(sig)]
+        order, sig, sid = order[once], sig[once], sid[once]
+        same = sig[1:] == sig[:-1]
+        shared = np.r_[same, False][: len(sig)] | np.r_[False, same][: len(sig)]
+        order = order[shared]
+        if len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(x["sig"][order].view(np.int64)), pa.array(x["sid"][order]), pa.array(x["band"][order].astype(np.int32)), pa.array(x["need"][order])], ["sig", "sid", "band", "need"])
 
 
 # --- verification -----------------------------------------------------------------------------
@@ -318,7 +333,14 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     run, schema = _sign(width, percent, bucket_count(docs))
     signed = ws.save(docs.mapInArrow(run, schema), "signed")
-    edges = ws.save(by_bucket(signed.where("bucket is not null").select("bucket", "sig", "sid")).mapInArrow(_meet, "a long, b long").distinct(), "edges")
+    shared = ws.save(by_bucket(signed.where("bucket is not null").select("bucket", "sig", "sid", "band", "need")).mapInArrow(_meet, "sig long, sid long, band int, need int"), "shared")
+    for turn in "12":  # a set that shares fewer signatures than any link needs goes, and so do signatures left with one set
+        enough = shared.groupBy("sid", "band").agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least").select("sid", "band")
+        left = shared.join(enough, ["sid", "band"])
+        pivots = left.groupBy("sig").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where("pivot < last").select("sig", "pivot")
+        shared = ws.save(left.join(pivots, "sig").select("sig", "sid", "band", "need", "pivot"), f"shared{turn}").drop("pivot") if turn == "1" else left.join(pivots, "sig")
+    edges = ws.save(shared.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), "edges")
+    ws.drop("shared", "shared1")
     rows = ws.save(signed.where("bucket is null").select("id", "hi", "lo", "n_shingles"), "rows")
     ws.drop("signed")
     labels = components(ws, edges)
