@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .ngram_join import ngram_jaccard_join
+from .suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,3 +40,8 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, both.y
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST((SELECT min(y) FROM reach WHERE reach.x = doc_id) AS BIGINT) AS component_id,
   CAST((SELECT count(*) FROM both WHERE both.x = doc_id) AS BIGINT) AS n_links
 FROM sets"""
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), length=400)
