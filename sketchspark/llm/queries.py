@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .ngram_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
+from .token_prefix import token_prefixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,3 +47,11 @@ FROM sets"""
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), length=400)
+
+
+@query
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_prefixes(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.length("prefix").cast("long").alias("prefix_bytes"))
