@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .elias_fano import token_shards
 from .ngram_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
 from .token_prefix import token_prefixes
@@ -55,3 +56,11 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512)
 
     counted = token_prefixes(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.length("prefix").cast("long").alias("prefix_bytes"))
+
+
+@query
+def op6_elias_fano_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
