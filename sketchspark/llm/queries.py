@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from .common import table
 from .elias_fano import token_shards
 from .ngram_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
+from .tiff import pages, text_media
 from .token_prefix import token_prefixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +69,47 @@ def op6_elias_fano_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _media_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file from its pages, which follow one another in a task."""
+    held: list = []
+
+    def row() -> tuple:
+        head, sha, tail, size, total, pages_ = held
+        return (head[0], head[1], size, sha.hexdigest(), zlib.crc32(tail), head[2], head[3], f"pages={pages_};rows={size // 64};mean={total / size:.6f}")
+
+    for batch in batches:
+        out = []
+        for id_, n_bytes, media_bytes, media_sha, page, error, pixels in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "error")), batch.column("pixels"), strict=True):
+            if error is not None:
+                raise ValueError(f"document {id_}: {error}")
+            raw = pixels.as_buffer()
+            if page == 0:
+                if held:
+                    out.append(row())
+                held = [(id_, n_bytes, media_bytes, media_sha), hashlib.sha256(), b"", 0, 0, 0]
+            held[1].update(raw)
+            held[2] = raw.slice(max(0, raw.size - 64)).to_pybytes()
+            held[3] += raw.size
+            held[4] += int(np.frombuffer(raw, np.uint8).sum(dtype=np.int64))
+            held[5] += 1
+        if out:
+            yield _digests(out)
+    if held:
+        yield _digests([row()])
+
+
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def _digests(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DIGEST, strict=True)], schema=DIGEST)
+
+
+@query
+def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = text_media(table(spark, sf_dir, "documents", "doc_id", "text"))
+    media = media.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    read = pages(media).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "error", "pixels")
+    return read.mapInArrow(_media_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
