@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .elias_fano import token_shards
+from .language_id import fit as fit_languages
+from .language_id import identify, in_fold
 from .ngram_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
 from .tiff import pages, text_media
@@ -113,3 +115,9 @@ def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
     read = pages(media).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "error", "pixels")
     return read.mapInArrow(_media_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+@query
+def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(~in_fold("doc_id"))
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text"), fit_languages(train))
