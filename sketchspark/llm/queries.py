@@ -19,6 +19,8 @@ from .ngram_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
 from .tiff import pages, text_media
 from .token_prefix import token_prefixes
+from .toxicity import fit as fit_toxicity
+from .toxicity import score as score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +123,9 @@ def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(~in_fold("doc_id"))
     return identify(table(spark, sf_dir, "documents", "doc_id", "text"), fit_languages(train))
+
+
+@query
+def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~in_fold("doc_id"))))
