@@ -15,6 +15,7 @@ from .common import table
 from .elias_fano import token_shards
 from .language_id import fit as fit_languages
 from .language_id import identify, in_fold
+from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
 from .tiff import pages, text_media
@@ -129,3 +130,9 @@ def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~in_fold("doc_id"))))
+
+
+@query
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
