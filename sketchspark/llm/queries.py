@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import NAME, UNITS, decontaminate
 from .elias_fano import token_shards
 from .language_id import fit as fit_languages
 from .language_id import identify, in_fold
@@ -136,3 +137,32 @@ def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+_TEMPLATE = rf"string_split(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([a-z][,;:]? )[A-Z][a-z]+', '\1{NAME}', 'g'), '[^\p{{L}}\p{{N}}{NAME}]+', ' ', 'g'))), '[0-9]+', '#', 'g'), '(# )({'|'.join(UNITS)})( |$)', '\1@\3', 'g'), ' ')"
+_RAW = rf"string_split(trim(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '[^\p{{L}}\p{{N}}{NAME}]+', ' ', 'g')), ' ')"
+_SLOT = f"(contains(x, '#') OR x = '@' OR contains(x, '{NAME.lower()}'))"
+_SLOT_AT = f"(contains(win[i], '#') OR win[i] = '@' OR contains(win[i], '{NAME.lower()}'))"
+ORACLE_SQL["op9_template_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_TEMPLATE} AS w, {_RAW} AS r FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, {_TEMPLATE} AS w, {_RAW} AS r FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, r, w, unnest(range(0, greatest(len(w) - 8, 0) + 1)) AS p FROM d WHERE w[1] <> ''),
+bw AS (SELECT item_id, r, w, unnest(range(0, greatest(len(w) - 8, 0) + 1)) AS p FROM b WHERE w[1] <> ''),
+bk AS (SELECT DISTINCT item_id, p AS item_at, len(w) AS item_words, w[p + 1:p + 8] AS win, r[p + 1:p + 8] AS br FROM bw
+  WHERE len(list_filter(w[p + 1:p + 8], x -> NOT {_SLOT})) >= least(5, len(w))),
+f AS (SELECT DISTINCT doc_id, item_id, item_words, p - item_at AS shift, item_at, win, br, dw.r[p + 1:p + 8] AS dr FROM bk JOIN dw ON dw.w[p + 1:p + 8] = bk.win),
+c AS (SELECT doc_id, item_id, item_words, shift, item_at, unnest(range(1, len(win) + 1)) AS i, win, br, dr FROM f),
+l AS (SELECT doc_id, item_id, item_words, shift, count(DISTINCT item_at) AS n_windows, count(DISTINCT item_at + i) AS covered,
+    count(DISTINCT CASE WHEN {_SLOT_AT} THEN lower(br[i]) END) AS nb,
+    count(DISTINCT CASE WHEN {_SLOT_AT} THEN lower(dr[i]) END) AS nd,
+    count(DISTINCT CASE WHEN {_SLOT_AT} THEN lower(br[i]) || chr(10) || lower(dr[i]) END) AS np,
+    bool_and(lower(br[i]) = lower(dr[i]) OR NOT {_SLOT_AT}) AS same FROM c GROUP BY ALL),
+k AS (SELECT *, CASE WHEN same THEN 0 WHEN nb = np AND nd = np THEN 1 END AS kind FROM l)
+SELECT doc_id, item_id, CAST(sum(n_windows) AS BIGINT) AS n_windows, CAST(max(covered) AS BIGINT) AS covered, CAST(max(item_words) AS BIGINT) AS item_words,
+  CASE min(kind) WHEN 0 THEN 'exact' ELSE 're-parameterised' END AS kind
+FROM k WHERE kind IS NOT NULL AND (covered >= 10 OR covered >= 0.5 * item_words) GROUP BY doc_id, item_id"""
