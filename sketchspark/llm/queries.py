@@ -18,6 +18,7 @@ from .language_id import fit as fit_languages
 from .language_id import identify, in_fold
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
+from .packing import best_fit_pack
 from .suffix_dedup import suffix_dedup
 from .tiff import pages, text_media
 from .token_prefix import token_prefixes
@@ -40,19 +41,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op2_ngram_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
 items AS (SELECT doc_id, unnest(s) AS g FROM sets),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM shared JOIN sets sx ON sx.doc_id = x JOIN sets sy ON sy.doc_id = y
   WHERE 100 * n >= 85 * (len(sx.s) + len(sy.s) - n)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, both.y FROM reach JOIN both ON reach.y = both.x)
+twoway AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, twoway.y FROM reach JOIN twoway ON reach.y = twoway.x)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST((SELECT min(y) FROM reach WHERE reach.x = doc_id) AS BIGINT) AS component_id,
-  CAST((SELECT count(*) FROM both WHERE both.x = doc_id) AS BIGINT) AS n_links
+  CAST((SELECT count(*) FROM twoway WHERE twoway.x = doc_id) AS BIGINT) AS n_links
 FROM sets"""
 
 
@@ -154,7 +155,7 @@ b AS (SELECT item_id, {_TEMPLATE} AS w, {_RAW} AS r FROM benchmark WHERE text IS
 dw AS (SELECT doc_id, r, w, unnest(range(0, greatest(len(w) - 8, 0) + 1)) AS p FROM d WHERE w[1] <> ''),
 bw AS (SELECT item_id, r, w, unnest(range(0, greatest(len(w) - 8, 0) + 1)) AS p FROM b WHERE w[1] <> ''),
 bk AS (SELECT DISTINCT item_id, p AS item_at, len(w) AS item_words, w[p + 1:p + 8] AS win, r[p + 1:p + 8] AS br FROM bw
-  WHERE len(list_filter(w[p + 1:p + 8], x -> NOT {_SLOT})) >= least(5, len(w))),
+  WHERE len(list_filter(w[p + 1:p + 8], lambda x: NOT {_SLOT})) >= least(5, len(w))),
 f AS (SELECT DISTINCT doc_id, item_id, item_words, p - item_at AS shift, item_at, win, br, dw.r[p + 1:p + 8] AS dr FROM bk JOIN dw ON dw.w[p + 1:p + 8] = bk.win),
 c AS (SELECT doc_id, item_id, item_words, shift, item_at, unnest(range(1, len(win) + 1)) AS i, win, br, dr FROM f),
 l AS (SELECT doc_id, item_id, item_words, shift, count(DISTINCT item_at) AS n_windows, count(DISTINCT item_at + i) AS covered,
@@ -166,3 +167,8 @@ k AS (SELECT *, CASE WHEN same THEN 0 WHEN nb = np AND nd = np THEN 1 END AS kin
 SELECT doc_id, item_id, CAST(sum(n_windows) AS BIGINT) AS n_windows, CAST(max(covered) AS BIGINT) AS covered, CAST(max(item_words) AS BIGINT) AS item_words,
   CASE min(kind) WHEN 0 THEN 'exact' ELSE 're-parameterised' END AS kind
 FROM k WHERE kind IS NOT NULL AND (covered >= 10 OR covered >= 0.5 * item_words) GROUP BY doc_id, item_id"""
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents", "doc_id", "text", "source"))

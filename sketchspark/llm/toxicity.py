@@ -291,14 +291,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_texts([t for _, t in rows], [picked[i] for i, _ in rows])
 
 
-def _score_stage(model: StringKernelSVM):
+def _score_stage(model: StringKernelSVM, score_col: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column(batch.num_columns - 1))
             best = np.full(batch.num_rows, -1.0)
             for i, j in byte_chunks(offsets, 4 << 20):
                 best[i:j] = model.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.probability(best))], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.probability(best))], [*batch.schema.names[:-1], score_col])
 
     return run
 
@@ -308,3 +308,10 @@ def score(df: DataFrame, model: StringKernelSVM, id_col: str = "doc_id", text_co
     rows = df.select(F.col(id_col).cast("long").alias("id"), in_fold(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(_score_stage(model), "id long, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_score(df: DataFrame, model: StringKernelSVM, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """df with one more column, the score (which replaces a column of that name)."""
+    rows = df.drop(score_col).withColumn("_scored", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_score_stage(model, score_col), f"{kinds}, `{score_col}` double")
