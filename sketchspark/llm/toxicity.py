@@ -17,8 +17,8 @@ weighted to the labels' rate, gives the probability.
 In the linear span of the landmarks the decision is one weight per letter triple, so a
 word costs a few table look-ups; distinct words are scored once and kept in a bounded cache.
 
-The fit reads a bounded sample of labelled rows: `per_label` documents of each label, the
-least hashes of their ids, `sample_chars` characters of each; these go to the driver.
+The fit reads a bounded sample of labelled rows: `per_label` toxic documents and
+`clean_factor` times as many clean ones, the least hashes of their ids, `sample_chars` characters of each; these go to the driver.
 
 Defined results: null or empty text, or text without words of three letters, has the lowest
 score; without labels of both kinds every score is 0.  Equal texts, equal scores.
@@ -106,8 +106,8 @@ def padded(windows: list[str]) -> np.ndarray:
 def decisions(windows: list[str], table: np.ndarray) -> np.ndarray:
     """table . phi(w) / |phi(w)| of each window."""
     out = np.empty(len(windows))
-    for i in range(0, len(windows), 1 << 15):
-        index, weight = triples(padded(windows[i : i + (1 << 15)]))
+    for i in range(0, len(windows), 1 << 14):
+        index, weight = triples(padded(windows[i : i + (1 << 14)]))
         norm = np.sqrt((weight**2).sum(1))
         out[i : i + len(index)] = (table[index] * weight).sum(1) / np.maximum(norm, 1e-9)
     return out
@@ -182,9 +182,15 @@ class StringKernelSVM:
 # --- fit --------------------------------------------------------------------------------------
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int, least: float = 14.0) -> list[str]:
+def ngrams(words: list[str]) -> set[str]:
+    return {w[i : i + n] for w in words for n in (4, 5, 6) for i in range(len(w) - n + 1)}
+
+
+def choose_landmarks(toxic: list[list[str]], clean: list[list[str]], count: int, least: float = 14.0) -> list[str]:
     """n-grams whose documents are toxic beyond chance (log-likelihood ratio), none holding another."""
-    bad, good = Counter(g for s in toxic for g in s), Counter(g for s in clean for g in s)
+    bad = Counter(g for words in toxic for g in ngrams(words))
+    bad = {g: n for g, n in bad.items() if n > 2}
+    good = Counter(g for words in clean for g in ngrams(words) if g in bad)
     rate = len(toxic) / (len(toxic) + len(clean))
 
     def worth(g: str) -> float:
@@ -192,7 +198,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int, l
         p = n / (n + m)
         return 0.0 if p <= 0.8 else n * np.log(p / rate) + (m * np.log((1 - p) / (1 - rate)) if m else 0.0)
 
-    found = {g: w for g in bad if bad[g] > 2 and (w := worth(g)) >= least}
+    found = {g: w for g in bad if (w := worth(g)) >= least}
     out: list[str] = []
     for g in sorted(found, key=lambda g: (-found[g] - 0.5 * len(g), g)):
         if len(out) < count and not any(g in o or o in g for o in out):
@@ -229,23 +235,25 @@ def logistic(score: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
-def fit_texts(texts: list[str], labels: list[int], landmarks: int = 96, cost: float = 10.0, rounds: int = 4, negatives: int = 6000) -> StringKernelSVM:
+def fit_texts(texts: list[str], labels: list[int], landmarks: int = 96, cost: float = 1.0, rounds: int = 4, negatives: int = 6000) -> StringKernelSVM:
     """Learn from labelled documents; their sentences are the instances."""
     label = np.array(labels)
     if not (label == 1).any() or not (label == 0).any():
         return StringKernelSVM()
-    sentences = [[words_of(s) for s in SENTENCE.split(t)] for t in texts]
-    grams = [{w[i : i + n] for s in d for w in s for n in (4, 5, 6) for i in range(len(w) - n + 1)} for d in sentences]
-    windows = [sorted({x for s in d for w in s for x in windows_of(w)}) for d in sentences]
-    bad = choose_landmarks([g for g, y in zip(grams, label, strict=True) if y], [g for g, y in zip(grams, label, strict=True) if not y], landmarks)
-    clean = Counter(x for d, y in zip(windows, label, strict=True) if not y for x in d)
-    usual = sorted(clean, key=lambda w: (-clean[w], w))
+    words = [sorted({w for s in SENTENCE.split(t) for w in words_of(s)}) for t in texts]
+    bad = choose_landmarks([d for d, y in zip(words, label, strict=True) if y], [d for d, y in zip(words, label, strict=True) if not y], landmarks)
+    number: dict[str, int] = {}
+    seen = [np.unique(np.array([number.setdefault(x, len(number)) for w in d for x in windows_of(w)], np.int32)) for d in words]
+    every = list(number)
+    del words, number
+    clean = np.bincount(np.concatenate([d for d, y in zip(seen, label, strict=True) if not y]), minlength=len(every)) if every else np.zeros(0)
+    usual = [every[i] for i in np.argsort(-clean, kind="stable")[: int((clean > 0).sum())]]
     if not bad or not usual:
         return StringKernelSVM()
     marks = bad + usual[: max(16, len(bad))]
     index, weight = triples(padded(marks))
     weight = weight / np.maximum(np.sqrt((weight**2).sum(1, keepdims=True)), 1e-9)
-    phi = np.zeros((len(marks), SYMBOLS**3))
+    phi = np.zeros((len(marks), SYMBOLS**3), np.float32)
     np.add.at(phi, (np.arange(len(marks))[:, None], index), weight)
     value, vector = np.linalg.eigh(phi @ phi.T)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T  # K_mm^(-1/2)
@@ -253,14 +261,15 @@ def fit_texts(texts: list[str], labels: list[int], landmarks: int = 96, cost: fl
     # every window of a clean sentence is negative: the most usual ones, and in each round the worst of all
     minus = usual[:negatives]
     x_minus = features(minus)
-    toxic = [d for d, y in zip(windows, label, strict=True) if y and d]
+    toxic = [d for d, y in zip(seen, label, strict=True) if y and len(d)]
     model = None
     for _ in range(rounds):
         if model is None:  # at first, windows that hold a landmark
-            witness = [w for d in toxic for w in d if any(g in w for g in bad)]
+            held = np.array([any(g in w for g in bad) for w in every])
+            witness = [every[i] for d in toxic for i in d if held[i]]
         else:
-            scored = [decisions(d, model.table) + model.offset for d in toxic]
-            witness = [d[int(s.argmax())] for d, s in zip(toxic, scored, strict=True) if s.max() > -0.5]
+            scored = decisions(every, model.table) + model.offset
+            witness = [every[d[int(scored[d].argmax())]] for d in toxic if scored[d].max() > -0.5]
             wrong = decisions(usual, model.table) + model.offset
             known = set(minus)
             more = [usual[i] for i in np.argsort(-wrong, kind="stable")[:negatives] if wrong[i] > -1 and usual[i] not in known]
@@ -276,16 +285,17 @@ def fit_texts(texts: list[str], labels: list[int], landmarks: int = 96, cost: fl
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
         w, b = squared_hinge(x, y, np.r_[share / share.sum() * len(minus) * 0.2, np.ones(len(minus))], cost)
         model = StringKernelSVM((root @ w) @ phi, b)
-    best = np.array([max(-1.0, float((decisions(d, model.table) + model.offset).max())) if d else -1.0 for d in windows])
+    scored = decisions(every, model.table) + model.offset
+    best = np.array([max(-1.0, float(scored[d].max())) if len(d) else -1.0 for d in seen])
     slope, shift = logistic(best, label.astype(float))
     return StringKernelSVM(model.table.astype(np.float32), model.offset, slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, sample_chars: int = 6000) -> StringKernelSVM:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, clean_factor: int = 2, sample_chars: int = 4000) -> StringKernelSVM:
     """Learn from the labelled rows of docs; ids that are labelled both ways are left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
     order = Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col)
-    picked = {r[0]: r["y"] for r in known.select(id_col, "y").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).collect()}
+    picked = {r[0]: r["y"] for r in known.select(id_col, "y").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.when(F.col("y") == 1, per_label).otherwise(per_label * clean_factor)).collect()}
     rows = docs.where(F.col(id_col).isin(list(picked))).select(id_col, F.substring(text_col, 1, sample_chars).alias("t")).collect() if picked else []
     rows = sorted((r[0], r["t"] or "") for r in rows)
     return fit_texts([t for _, t in rows], [picked[i] for i, _ in rows])
