@@ -62,6 +62,12 @@ class Workspace:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.parquet(self.path(name))
 
+    def folder(self, name: str) -> str:
+        """A new folder for files of a format of one's own."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+        return self.path(name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))

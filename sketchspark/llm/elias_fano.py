@@ -239,6 +239,6 @@ def read_shards(manifest: DataFrame, base: str, id_col: str = "doc_id") -> DataF
 def token_shards(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards into the shared folder and return their documents as read back."""
     ws = Workspace(df.sparkSession, "token-shards")
-    base = ws.path("shards")
+    base = ws.folder("shards")
     manifest = ws.save(write_shards(df, path, base, end_id, id_col, text_col), "manifest")
     return read_shards(manifest, base, id_col)
