@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROLLING, U64, Workspace, byte_chunks, byte_view, mix64, word_spans
+from .common import LOWER, ROLLING, U64, Workspace, byte_chunks, byte_view, mix64, word_spans
+from .token_prefix import _safe_cuts
 
 HEADER = struct.Struct("<4sBBBBQQQQ")
 SAMPLE = 256
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
+TOGETHER = 512
 
 
 # --- Elias-Fano -------------------------------------------------------------------------------
@@ -121,12 +123,18 @@ def unpack_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, Boundaries, np.nda
 
 
 class WordEncoder:
-    """Ids of texts from a tokenizer that never joins words across ASCII blanks: distinct words go to the library once."""
+    """Ids of texts from a lower-casing tokenizer that never joins words across ASCII blanks.
+
+    Distinct words go to the library once.  Words are looked up in lower case, and cut between a
+    letter and an ASCII mark, where the tokenizer cuts as well; neither is done where a special
+    token's string is about.  Words of letters only are encoded together, and told apart again by
+    the library's word numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._empty()
 
@@ -134,9 +142,34 @@ class WordEncoder:
         self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
         self.pool, self.starts = np.zeros(0, f"u{self.width}"), np.zeros(1, np.int64)
 
+    def _library(self, words: list[str], letters: np.ndarray) -> list[list[int]]:
+        found: list[list[int]] = [[]] * len(words)
+        rest = np.flatnonzero(~letters).tolist()
+        easy = np.flatnonzero(letters)
+        groups = [easy[i : i + TOGETHER] for i in range(0, len(easy), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            number = np.array(e.word_ids)
+            cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            if len(cut) != len(group):
+                rest += group.tolist()
+                continue
+            ids = e.ids
+            for i, a, b in zip(group.tolist(), cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+                found[i] = ids[a:b]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of texts that lie one after another in data, each with its end id."""
         begin, end = word_spans(data, offsets[:-1])
+        lower = LOWER[data]
+        plain = np.zeros(len(data), bool)
+        if not any(x in lower.tobytes() for x in self.specials):
+            data = lower
+            _, plain, mark = _safe_cuts(data, True)
+            edge = np.flatnonzero(plain[:-1] & mark[1:] & (data[1:] != 0x27)) + 1 if len(data) else begin
+            begin, end = np.sort(np.r_[begin, edge]), np.sort(np.r_[end, edge])
         keys = mix64(ROLLING.slices(ROLLING.sums(data), begin, end) + (end - begin).astype(U64))
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
@@ -146,7 +179,8 @@ class WordEncoder:
         if len(new):
             view = memoryview(data)
             words = [str(view[begin[i] : end[i]], "utf-8") for i in first[new]]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            letters = np.add.reduceat(plain, begin, dtype=np.int64)[first[new]] == (end - begin)[first[new]]
+            found = self._library(words, letters)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.pool = np.r_[self.pool, np.fromiter((t for ids in found for t in ids), self.pool.dtype, int(sizes.sum()))]
             slot = len(self.starts) - 1 + np.arange(len(sizes))
@@ -191,7 +225,7 @@ def _write_stage(path: str, base: str, end_id: int, limit: int):
 
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
-            for i, j in byte_chunks(offsets, 4 << 20):
+            for i, j in byte_chunks(offsets):
                 found, size = encode.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
                 column = batch.column(0).slice(i, j - i)
                 docs.append(np.asarray(column.fill_null(0)))
@@ -215,13 +249,13 @@ def _read_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, null, boundaries, ids = unpack_shard(raw.as_buffer())
             ends = boundaries.all()
             starts = np.r_[0, ends[:-1]][: len(ends)]
-            wide = ids.astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, mask=null > 0), pa.array(base + starts), pa.array(ends - starts), pa.array([wide[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["id", "start", "n_tokens", "ids"]
-            )
+            for i in range(0, len(docs), 500):
+                a, b = starts[i : i + 500], ends[i : i + 500]
+                raw_ids = [ids[x:y].astype("<u4").tobytes() for x, y in zip(a, b, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], mask=null[i : i + 500] > 0), pa.array(base + a), pa.array(b - a), pa.array(raw_ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
 
-def write_shards(df: DataFrame, path: str, base: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 23) -> DataFrame:
+def write_shards(df: DataFrame, path: str, base: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 21) -> DataFrame:
     """Write the shards under base; the manifest (part, serial, name, n_ids) says which files count."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     run, schema = _write_stage(path, base, end_id, shard_ids)

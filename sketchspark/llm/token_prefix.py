@@ -305,7 +305,7 @@ def _run(path: str):
         count = counter(path)
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
-            for i, j in byte_chunks(offsets, 4 << 20):
+            for i, j in byte_chunks(offsets, 2 << 20):
                 own = offsets[i : j + 1] - offsets[i]
                 deltas = count.deltas(data[offsets[i] : offsets[j]], own)
                 total = np.r_[0, np.cumsum(deltas, dtype=np.int64)]
