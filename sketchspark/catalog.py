@@ -99,7 +99,10 @@ def rollup_hll(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(card.hll_estimate(card.merge_registers([named.select("r_name", "bucket", "value")], ["r_name"]), ["r_name"], p=12), "estimate")
 
 
-@query(f"SELECT epoch(window_start)::BIGINT AS window_start, estimate, n_registers FROM ({_hll(_registers('(SELECT *, date_trunc(''hour'', ts) AS window_start FROM events)'.replace(chr(39) * 2, chr(39)), 'user_id', 'window_start', 12), 'window_start', 12)})")
+_HOURS = "(SELECT *, date_trunc('hour', ts) AS window_start FROM events)"
+
+
+@query(f"SELECT epoch(window_start)::BIGINT AS window_start, estimate, n_registers FROM ({_hll(_registers(_HOURS, 'user_id', 'window_start', 12), 'window_start', 12)})")
 def windowed_hll(spark: SparkSession, sf: str) -> DataFrame:
     state = win.windowed_hll(read(spark, sf, "events", "ts", "user_id"), "user_id", "ts")
     return _rounded(card.hll_estimate(state, ["window_start"], p=12), "estimate").withColumn("window_start", F.col("window_start").cast("timestamp").cast("long"))
