@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec
+from . import codec, states
 from .functions.hashing import hash64, murmur3_128, signed
 from .operators import cardinality as card
 from .operators import frequency as freq
@@ -529,3 +529,35 @@ def codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     state = card.hll(read(spark, sf, "events", "event_type", "user_id"), "user_id", ["event_type"])
     frames = state.groupBy("event_type").agg(F.count("*").alias("n"), F.collect_list(F.struct("bucket", "value")).alias("rows"))
     return frames.select("event_type", "n", pack("rows").alias("frame")).select("event_type", (registers("frame") == F.col("n")).alias("same"))
+
+
+@query("SELECT f.family, CAST(0 AS BIGINT) AS differences FROM (VALUES ('bloom'), ('cms'), ('cqf'), ('cuckoo'), ('ddsketch'), ('frequent_items'), ('iblt'), ('misra_gries'), ('quotient'), ('theta')) f(family)")
+def state_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """State rows of each family, packed into frames and read back: rows that differ."""
+    from functools import reduce
+
+    events, keys = read(spark, sf, "events", "event_type", "user_id", "value"), read(spark, sf, "orders", "o_orderkey")
+    by = ["event_type"]
+    rows = {
+        "cms": (freq.cms(events, "user_id", by), by, {}),
+        "theta": (card.theta_merge([card.theta(events, "user_id", by, k=64)], by, k=64), by, {"k": 64}),
+        "ddsketch": (quant.ddsketch(events, "value", by), by, {}),
+        "frequent_items": (freq.frequent_items(events, "user_id", by), by, {}),
+        "misra_gries": (freq.misra_gries(events, "user_id", by), by, {}),
+        "bloom": (mem.bloom(keys, "o_orderkey", 200_000), [], {"capacity": 200_000}),
+        "quotient": (mem.quotient(keys, "o_orderkey", 18, 12), [], {"q": 18, "r": 12}),
+        "cqf": (mem.cqf(keys, "o_orderkey", 18, 12), [], {"q": 18, "r": 12}),
+        "cuckoo": (mem.cuckoo(keys, "o_orderkey", 200_000, 16), [], {"capacity": 200_000, "bits": 16}),
+        "iblt": (rec.iblt(keys, "o_orderkey", cells=5000), [], {"cells": 5000}),
+    }
+
+    def differences(family: str) -> DataFrame:
+        state, group, options = rows[family]
+        state = state.drop("low", "high") if family != "ddsketch" else state
+        again = states.from_frames(states.to_frames(state, family, group, **options), family, group)
+        names = [c for c in state.columns if c not in ("low", "high")]
+        both = state.select(*names, F.lit(1).alias("_s")).unionByName(again.select(*(F.col(c).cast(state.schema[c].dataType) for c in names), F.lit(-1).alias("_s")))
+        odd = both.groupBy(*names).agg(F.sum("_s").alias("_s")).where("_s <> 0")
+        return odd.agg(F.count("*").alias("differences")).select(F.lit(family).alias("family"), "differences")
+
+    return reduce(DataFrame.unionByName, (differences(f) for f in sorted(rows)))

@@ -112,6 +112,12 @@ def cuckoo_buckets(capacity: int = 10_000, slots: int = 4) -> int:
     return 1 << max(0, math.ceil(math.log2(capacity / 0.955 / slots)))
 
 
+def cuckoo_mix(fp: int) -> int:
+    """What a fingerprint's two buckets differ by, before the mask."""
+    mixed = fp * 0x5BD1E995 & 0xFFFFFFFF
+    return (mixed ^ mixed >> 13) * 0x5BD1E995 & 0xFFFFFFFF
+
+
 def _cuckoo(h: Column, buckets: int, bits: int) -> list[Column]:
     """(pair, fp): evictions move a fingerprint between its two buckets only, so the pair names its place."""
     fp = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << bits) - 1))
@@ -240,16 +246,30 @@ class Stage:
     delete: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None
 
 
+def _weight(s: Stage) -> Column:
+    return F.col({"cqf": "count", "cuckoo": "count", "xor": "n"}[s.kind]) if s.kind in ("cqf", "cuckoo", "xor") else F.lit(1)
+
+
 @dataclass(frozen=True)
 class FilterChain:
-    """An item is a member if every stage says so; static stages are skipped by put."""
+    """An item is a member if every stage says so; static stages are skipped by put.
+
+    Adjuncts (reconciliation tables) travel with the chain and aren't asked."""
 
     stages: tuple[Stage, ...] = field(default=())
+    adjuncts: tuple[DataFrame, ...] = field(default=())
 
     def add(self, stage: Stage) -> FilterChain:
         if self.stages and self.stages[-1].kind == "xor":
             raise InvalidChainComposition("nothing follows a static filter")
-        return FilterChain((*self.stages, stage))
+        return FilterChain((*self.stages, stage), self.adjuncts)
+
+    def adjoin(self, table: DataFrame) -> FilterChain:
+        return FilterChain(self.stages, (*self.adjuncts, table))
+
+    def count(self) -> int:
+        """The stages' counts together, each of what the family counts: set bits, fingerprints or occurrences."""
+        return sum(int(s.state.agg(F.sum(_weight(s))).first()[0] or 0) for s in self.stages)
 
     def member(self, probes: DataFrame, col: str) -> DataFrame:
         asked = probes.select(col).where(F.col(col).isNotNull()).distinct().withColumn("member", F.lit(True))
@@ -259,12 +279,12 @@ class FilterChain:
         return asked
 
     def put(self, items: DataFrame, col: str) -> FilterChain:
-        return FilterChain(tuple(Stage(s.kind, s.put(s.state, items, col), s.member, s.put, s.delete) if s.put else s for s in self.stages))
+        return FilterChain(tuple(Stage(s.kind, s.put(s.state, items, col), s.member, s.put, s.delete) if s.put else s for s in self.stages), self.adjuncts)
 
     def delete(self, items: DataFrame, col: str) -> FilterChain:
         if any(s.delete is None for s in self.stages):
             raise UnsupportedOperation("a stage can't delete")
-        return FilterChain(tuple(Stage(s.kind, s.delete(s.state, items, col), s.member, s.put, s.delete) for s in self.stages))
+        return FilterChain(tuple(Stage(s.kind, s.delete(s.state, items, col), s.member, s.put, s.delete) for s in self.stages), self.adjuncts)
 
 
 def stage(kind: str, df: DataFrame, col: str, **o) -> Stage:

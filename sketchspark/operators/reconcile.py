@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import check
@@ -33,9 +33,8 @@ def positions(key: int, cells: int, hashes: int, seed: int = 0) -> list[int]:
     return out
 
 
-def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64", sign: int = 1) -> DataFrame:
-    """(cell, count, key_sum, value_sum, check_sum): sums of signs, xors of key and value hashes and of checks."""
-    check(1 <= cells <= 1 << 24 and 1 <= hashes <= 10, "cells must be 1 to 2^24, hashes 1 to 10")
+def _places(cells: int, hashes: int, seed: int) -> Callable[[str], Column]:
+    """The cells of key hashes, a batch at once; keys whose cells clash one by one."""
 
     @F.pandas_udf("array<int>")
     def places(h: pd.Series) -> pd.Series:
@@ -48,15 +47,29 @@ def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, h
             out[i] = positions(int(keys[i]), cells, hashes, seed)
         return pd.Series(out)
 
+    return places
+
+
+def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64", sign: int = 1) -> DataFrame:
+    """(cell, count, key_sum, value_sum, check_sum): sums of signs, xors of key and value hashes and of checks."""
+    check(1 <= cells <= 1 << 24 and 1 <= hashes <= 10, "cells must be 1 to 2^24, hashes 1 to 10")
+
     @F.pandas_udf("long")
     def checks(h: pd.Series) -> pd.Series:
         return pd.Series((splitmix64_np(h.to_numpy().view(np.uint64) * np.uint64(0x517CC1B727220A95)) >> np.uint64(32)).astype(np.int64))
 
     rows = df.where(F.col(key).isNotNull()).select(hash64(key, strategy).alias("k"), (hash64(value, strategy) if value else F.lit(0).cast("long")).alias("v"))
-    spread = rows.select("k", "v", checks("k").alias("c"), F.explode(places("k")).alias("cell"))
+    spread = rows.select("k", "v", checks("k").alias("c"), F.explode(_places(cells, hashes, seed)("k")).alias("cell"))
     return spread.groupBy("cell").agg((F.count("*") * sign).alias("count"), F.bit_xor("k").alias("key_sum"), F.bit_xor("v").alias("value_sum"), F.bit_xor("c").alias("check_sum"))
 
 
+def iblt_member(state: DataFrame, probes: DataFrame, col: str, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64") -> DataFrame:
+    """(col, member) of each distinct probe: none of its cells is empty."""
+    asked = probes.select(col).where(F.col(col).isNotNull()).distinct().select(col, hash64(col, strategy).alias("_h"))
+    spread = asked.select(col, F.explode(_places(cells, hashes, seed)("_h")).alias("cell"))
+    return spread.join(state.select("cell", "count"), "cell", "left").groupBy(col).agg(F.min(F.coalesce("count", F.lit(0)) != 0).alias("member"))
+
+
 def iblt_merge(states: Sequence[DataFrame]) -> DataFrame:
     return union_all(states).groupBy("cell").agg(F.sum("count").alias("count"), *(F.bit_xor(c).alias(c) for c in ("key_sum", "value_sum", "check_sum")))
 
