@@ -87,13 +87,18 @@ def furthest(a: int, b: int, percent: int) -> int:
     return a + b - 2 * overlap
 
 
+def furthest_of(a: int, b: int, percent: int) -> int:
+    """Greatest symmetric difference of linked sets of sizes a and up to b: it grows with every second size only."""
+    return max(0, furthest(a, b, percent), furthest(a, b - 1, percent))
+
+
 @cache
 def bands(percent: int, largest_power: int) -> list[tuple[int, int, int, int, int]]:
     """(lowest, highest, k, ranges, slack) of each size band; slack -1 marks the small scheme."""
     out, low = [], 1
     for _ in range(largest_power):
         high = max(low, math.ceil(low * max(RATIO, 110 / percent)) - 1)
-        k = max(0, furthest(high, high, percent))
+        k = furthest_of(high, high, percent)
         least = max(1, math.ceil(low * percent / 100))
         slack = 0
         while True:

@@ -16,7 +16,7 @@ from sketchspark.llm.decontaminate import decontaminate
 from sketchspark.llm.elias_fano import Boundaries, encode_boundaries, token_shards
 from sketchspark.llm.language_id import CompressionClassifier, canonical, identify
 from sketchspark.llm.line_dedup import line_dedup, normalise, simhashes, within_edits
-from sketchspark.llm.ngram_join import ngram_jaccard_join
+from sketchspark.llm.ngram_join import ngram_jaccard_join, signatures
 from sketchspark.llm.packing import best_fit, best_fit_pack
 from sketchspark.llm.suffix_dedup import suffix_dedup
 from sketchspark.llm.tiff import decode, encode, pages, read_pages, text_media
@@ -108,6 +108,35 @@ def test_ngram_join(spark):
         assert sorted(map(tuple, got)) == sorted(brute_links(rows, width, percent))
 
 
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join_one_word_more_or_less(spark, width, percent):
+    rows = []
+    for size in range(1, 61):
+        words = [f"w{size}x{i}" for i in range(size)]
+        for copy in (words, [*words, "more"], words[:-1]):
+            rows.append((len(rows), " ".join(copy)))
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows, width, percent))
+
+
+def linked_pairs(percent):
+    """Random sets at the greatest difference that still links, at all sizes up to 60."""
+    rng = np.random.default_rng(7)
+    for a in range(1, 61):
+        for b in range(a, a * 100 // percent + 1):
+            shared = -(-percent * (a + b) // (100 + percent))
+            for _ in range(20):
+                items = rng.integers(0, 1 << 63, a + b - shared, dtype=np.uint64) * np.uint64(2)
+                yield np.sort(items[:a]), np.sort(items[a - shared :])
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_a_signature(percent):
+    for a, b in linked_pairs(percent):
+        x, y = ({s for _, _, part in signatures(v, percent) for s in part.tolist()} for v in (a, b))
+        assert x & y or np.array_equal(a, b), (len(a), len(b))
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
