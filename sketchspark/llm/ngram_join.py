@@ -134,7 +134,7 @@ def signatures(found: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarr
     """(band, need, signatures) in a set's own band, and in the next where a linked set may lie.
 
     need: as many signatures at least does a set share with any set that it links with, as
-    at most ``furthest`` ranges can differ."""
+    at most ``furthest_of`` ranges can differ."""
     size = len(found)
     at, table = band_index(size, percent)
     out = []
@@ -149,7 +149,7 @@ def signatures(found: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarr
         full = np.flatnonzero(cut[1:] > cut[:-1])
         sums = np.zeros(ranges, U64)
         sums[full] = np.add.reduceat(mixed, cut[full])
-        alike = ranges - furthest(size, min(high, size * 100 // percent), percent)
+        alike = ranges - furthest_of(size, min(high, size * 100 // percent), percent)
         if slack < 0:
             two = _pairs(ranges)
             keys = sums[two[:, 0]] * U64(3) + sums[two[:, 1]] * U64(5)

@@ -137,6 +137,14 @@ def test_linked_sets_share_a_signature(percent):
         assert x & y or np.array_equal(a, b), (len(a), len(b))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_as_many_signatures_as_they_need(percent):
+    for a, b in linked_pairs(percent):
+        x, y = ({band: (need, set(part.tolist())) for band, need, part in signatures(v, percent)} for v in (a, b))
+        met = [len(x[i][1] & y[i][1]) >= max(x[i][0], y[i][0]) for i in x.keys() & y.keys()]
+        assert any(met) or np.array_equal(a, b), (len(a), len(b))
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
