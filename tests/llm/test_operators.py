@@ -187,6 +187,12 @@ def test_line_dedup(spark, crowd):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "Read more\n日本語の長い一行です。\n--\n--\nPage 1\nonly here"), (2, "read MORE!\n日本語の長い一行です。\n\nx\nPage 2"), (3, "X\n\nread more")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nx", 3), 3: ("", 2)}
+
+
 def test_within_edits():
     rng = random.Random(1)
     for _ in range(2000):
