@@ -15,7 +15,8 @@ contradict one another the match is dropped.  A match counts if it covers ``cove
 the item in a row of windows, or the item's share ``share``.
 
 Defined results: null or short texts match nothing; items shorter than ``width`` template
-words are compared as a whole; repeated rows give one result per id; a null id is an id.
+words are compared as a whole, with ``whole`` anywhere in a document; windows with too few
+ordinary words are left out, with ``whole`` compared by their raw words; repeated rows give one result per id; a null id is an id.
 """
 
 from __future__ import annotations
@@ -54,7 +55,26 @@ def windows(df: DataFrame, key: list[str], text: str, width: int) -> DataFrame:
     return cut.where("words[0] <> ''").select(*key, "raw", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", width: int = 8, literal: int = 5, cover: int = 10, share: float = 0.5, broadcast_rows: int = 500_000) -> DataFrame:
+def _others(ws: Workspace, items: DataFrame, texts: DataFrame, width: int, literal: int, broadcast_rows: int) -> DataFrame:
+    """Matches of windows with few ordinary words, by raw words, and of short items anywhere in a document."""
+    lowered = lambda df: df.withColumn("low", F.transform("raw", F.lower))
+    key = lambda c, n: F.xxhash64(*(F.get(c, F.col("at") + i) for i in range(n)))
+    cut = lowered(windows(items, ["item"], "t", width)).withColumn("item_window", F.slice("words", F.col("at") + 1, width))
+    plain = F.size(F.filter("item_window", lambda w: ~is_slot(w))) >= F.least(F.lit(literal), F.size("words"))
+    side = cut.select("item", F.col("at").alias("item_at"), F.size("words").alias("item_words"), "item_window", F.slice("raw", F.col("at") + 1, width).alias("item_raw"), plain.alias("plain"), F.when(plain, key("words", width)).otherwise(key("low", width)).alias("key"))
+    side = ws.save(side.where((F.col("item_words") < width) | ~F.col("plain")).distinct(), "others")
+    out = texts.join(side.limit(0).drop("key")).select("id", "item", "item_words", F.col("item_at").alias("shift"), "item_at", "item_window", "item_raw", F.col("item_raw").alias("raw"))
+    for n, by_template, count in side.groupBy(F.least("item_words", F.lit(width)), "plain").count().collect():
+        c = "words" if by_template else "low"
+        asked = side.where((F.least("item_words", F.lit(width)) == n) & (F.col("plain") == by_template)).drop("plain")
+        rows = lowered(windows(texts, ["id"], "t", n)).withColumn("key", key(c, n))
+        meets = rows.join(F.broadcast(asked) if count <= broadcast_rows else asked.hint("shuffle_merge"), "key")
+        same = F.col("item_window") if by_template else F.transform("item_raw", F.lower)
+        out = out.unionAll(meets.where(F.slice(c, F.col("at") + 1, n) == same).select("id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_window", "item_raw", F.slice("raw", F.col("at") + 1, n).alias("raw")))
+    return out
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", width: int = 8, literal: int = 5, cover: int = 10, share: float = 0.5, broadcast_rows: int = 500_000, whole: bool = False) -> DataFrame:
     """(id, item, n_windows, covered, item_words, kind): one row per document and item that leaked into it."""
     ws = Workspace(docs.sparkSession, "decontaminate")
     words = lambda c: [F.get(c, F.col("at") + i) for i in range(width)]
@@ -71,6 +91,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
     found = meets.where(F.slice("words", F.col("at") + 1, width) == F.col("item_window")).select(
         "id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_window", "item_raw", F.slice("raw", F.col("at") + 1, width).alias("raw")
     )
+    if whole:
+        found = found.unionAll(_others(ws, items, texts, width, literal, broadcast_rows))
     # one row per word of a matched window: covered places, and the slots' values
     places = found.select("id", "item", "item_words", "shift", "item_at", F.posexplode(F.arrays_zip("item_window", "item_raw", "raw")).alias("i", "w"))
     slot = F.when(is_slot(F.col("w.item_window")), F.struct(F.lower("w.item_raw").alias("b"), F.lower("w.raw").alias("d")))

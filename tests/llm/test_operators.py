@@ -358,6 +358,17 @@ def test_decontamination(spark):
         assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == want
 
 
+def test_decontamination_whole(spark):
+    dense = "What is 12 + 7 * 3 - 5 / 2 + 9 * 4 - 6 ?"
+    bench = spark.createDataFrame([(1, dense), (2, "Short item here now"), (3, "Add 3 and 4")], "item_id long, text string")
+    rows = [(1, f"some words before {dense} and after"), (2, "what is 13 + 7 * 3 - 5 / 2 + 9 * 4 - 8 and more words"), (3, "a long text with a short item HERE now inside of it"), (4, "then add 3 and 4 to get the sum of both"), (5, "then add 3 and 5 to get the sum of both")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate(docs_, bench, whole=True).collect()
+    assert {(1, 1, "exact"), (3, 2, "exact"), (4, 3, "exact")} <= {(r.doc_id, r.item_id, r.kind) for r in got}
+    assert 5 not in {r.doc_id for r in got}
+    assert not decontaminate(docs_, bench).where("doc_id in (1, 3, 4)").count()
+
+
 # --- all ----------------------------------------------------------------------------------------
 
 
