@@ -204,15 +204,26 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 # --- shuffling columns of numbers as packed arrays --------------------------------------------
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df's source, from file sizes and not from rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Buckets for `packed`: enough that one bucket's arrays stay in a task's memory at any size."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(partitions, min(input_bytes(df), 1 << 60) // bytes_each))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a column, counted."""
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def bucket_count(spark: SparkSession, total: int, bytes_each: int = 32 << 20) -> int:
+    """Buckets for `packed`, from the counted bytes of all arrays: one bucket stays in a task's memory at any size."""
+    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // bytes_each), 1 << 30)))
+
+
+def spare_names(columns: list[str], *own: str) -> dict[str, str]:
+    """New names, with leading underscores, of those columns that have a name of the operator's own."""
+    out: dict[str, str] = {}
+    for c in columns:
+        if c in own:
+            new = f"_{c}"
+            while new in columns or new in own or new in out.values():
+                new = f"_{new}"
+            out[c] = new
+    return out
 
 
 def packed_schema(names: list[str]) -> str:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROLLING, U64, Workspace, bucket_count, by_bucket, byte_chunks, byte_view, components, mix64, packed, packed_schema, unpacked, word_spans
+from .common import LOWER, ROLLING, U64, Workspace, bucket_count, by_bucket, byte_chunks, byte_view, components, mix64, packed, packed_schema, text_bytes, unpacked, word_spans
 
 RATIO = 1.4
 FLUSH = 1 << 20
@@ -336,7 +336,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_shingles, component_id, n_links): one row per input row; n_links counts linked rows, copies included."""
     ws = Workspace(df.sparkSession, "ngram-join")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    run, schema = _sign(width, percent, bucket_count(docs))
+    run, schema = _sign(width, percent, bucket_count(df.sparkSession, 2 * text_bytes(docs, "_text")))
     signed = ws.save(docs.mapInArrow(run, schema), "signed")
     shared = ws.save(by_bucket(signed.where("bucket is not null").select("bucket", "sig", "sid", "band", "need")).mapInArrow(_meet, "sig long, sid long, band int, need int"), "shared")
     for turn in "12":  # a set that shares fewer signatures than any link needs goes, and so do signatures left with one set

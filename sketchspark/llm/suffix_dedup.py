@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROLLING, U64, Workspace, bucket_count, by_bucket, byte_chunks, byte_view, mix64, packed, packed_schema, unpacked
+from .common import ROLLING, U64, Workspace, bucket_count, by_bucket, byte_chunks, byte_view, mix64, packed, packed_schema, text_bytes, unpacked
 
 SHALLOW = 16
 FLUSH = 1 << 18
@@ -380,7 +380,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws = Workspace(df.sparkSession, "suffix-dedup")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("_text")).withColumn("_th", F.xxhash64("_text"))
-    run, schema = _anchor_stage(length, k, bucket_count(docs))
+    run, schema = _anchor_stage(length, k, bucket_count(df.sparkSession, text_bytes(docs, "_text") // 2))
     match, matched = _match_stage(length, crowd)
     found = ws.save(by_bucket(docs.mapInArrow(run, schema)).mapInArrow(match, matched), "found")
     whole = found.where("kind = 0").select("id", "th", "lo", "hi")

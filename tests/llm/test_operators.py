@@ -15,7 +15,7 @@ from sketchspark.llm import queries
 from sketchspark.llm.decontaminate import decontaminate
 from sketchspark.llm.elias_fano import Boundaries, encode_boundaries, token_shards
 from sketchspark.llm.language_id import CompressionClassifier, canonical, identify
-from sketchspark.llm.line_dedup import line_dedup, normalise, simhashes, within_edits
+from sketchspark.llm.line_dedup import line_dedup, normalise, WORDS, Split, _near, blocks, simhashes, within_edits
 from sketchspark.llm.ngram_join import ngram_jaccard_join, signatures
 from sketchspark.llm.packing import best_fit, best_fit_pack
 from sketchspark.llm.suffix_dedup import suffix_dedup
@@ -149,10 +149,11 @@ def test_linked_sets_share_as_many_signatures_as_they_need(percent):
 
 
 def brute_lines(rows):
+    """By edit similarity alone."""
     lines = [(d, n, normalise(x.encode())) for d, t in rows for n, x in enumerate((t or "").split("\n"))]
-    lines = [(d, n, f) for d, n, f in lines if f and f.count(b" ") >= 4]
+    lines = [(d, n, f) for d, n, f in lines if f]
     names = sorted({f for _, _, f in lines})
-    sim, root = simhashes(names), list(range(len(names)))
+    root = list(range(len(names)))
 
     def find(x):
         while root[x] != x:
@@ -162,7 +163,7 @@ def brute_lines(rows):
     for a in range(len(names)):
         for b in range(a):
             u, v = names[a].decode(), names[b].decode()
-            if np.bitwise_count(sim[a] ^ sim[b]).sum() <= 3 and within_edits(u, v, int(max(len(u), len(v)) * 0.2 + 1e-9)):
+            if within_edits(u, v, int(max(len(u), len(v)) * 0.2 + 1e-9)):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     index, seen, gone = {f: i for i, f in enumerate(names)}, set(), collections.defaultdict(set)
@@ -173,8 +174,8 @@ def brute_lines(rows):
     return {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, t in rows}
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
-def test_line_dedup(spark, crowd):
+@pytest.mark.parametrize("tiles", [{}, {"tile": 2, "hot_from": 4}, {"tile_chars": 100}])
+def test_line_dedup(spark, tiles):
     rng = random.Random(2)
     pool = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(3, 90))) for _ in range(12)]
 
@@ -183,10 +184,59 @@ def test_line_dedup(spark, crowd):
         return x.upper() + "!!" if k < 0.3 else x[:-2] + rng.choice("xyz") + x[-1:] if k < 0.6 else x
 
     rows = [(i, "\n".join(vary(rng.choice(pool)) for _ in range(rng.randrange(6)))) for i in range(50)] + [(98, None), (99, "")]
-    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **tiles).collect()}
     assert got == brute_lines(rows)
 
 
+def shares_a_block(pairs):
+    """Whether each pair of normalised lines becomes a candidate."""
+    split = Split([x for pair in pairs for x in pair])
+    owner, value = blocks(split)
+    at, sim, size = np.searchsorted(owner, np.arange(2 * len(pairs) + 1)), simhashes(split), np.where(split.words < WORDS, -split.chars, split.chars)
+    near = _near(sim[::2], sim[1::2], size[::2], size[1::2], 0.8, 24)
+    return [bool(n and set(value[at[2 * i] : at[2 * i + 1]].tolist()) & set(value[at[2 * i + 1] : at[2 * i + 2]].tolist())) for i, n in enumerate(near)]
+
+
+def test_line_candidates_recall_against_edit_similarity(spark, sf):
+    """Every 4th line of the table against all lines, by edit distance; a bag of letters bounds it from below."""
+    names = sorted({f for r in docs(spark, sf).collect() for x in (r.text or "").split("\n") if (f := normalise(x.encode()))})
+    texts = [f.decode() for f in names]
+    size, bag = np.array([len(t) for t in texts]), np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, minlength=64) for t in texts])
+    pairs = []
+    for q in range(0, len(texts), 4):
+        most = np.floor(np.maximum(size, size[q]) * 0.2 + 1e-9)
+        apart = bag - bag[q]
+        least = np.maximum(np.clip(apart, 0, None).sum(1), np.clip(-apart, 0, None).sum(1))
+        pairs += [(names[q], names[j]) for j in np.flatnonzero(least <= most) if j != q and within_edits(texts[q], texts[j], int(most[j]))]
+    assert len(pairs) > 5
+    assert np.mean(shares_a_block(pairs)) >= 0.9
+
+
+def test_line_candidates_recall_of_small_edits():
+    rng = random.Random(6)
+    for words in (1, 3, 6, 10, 12, 13, 16, 19, 25, 60, 200):
+        pairs = []
+        for _ in range(300):
+            line = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5 if words < 3 else 2, 11))) for _ in range(words)]
+            other, at = list(line), rng.randrange(words)
+            k = rng.randrange(len(other[at]))
+            other[at] = other[at][:k] + rng.choice(["q", "", "qz"]) + other[at][k + 1 :]
+            if words > 13 and rng.random() < 0.5:
+                other.insert(rng.randrange(words), "more")
+            a, b = " ".join(line), " ".join(other)
+            if within_edits(a, b, int(max(len(a), len(b)) * 0.2 + 1e-9)):
+                pairs.append((a.encode(), b.encode()))
+        assert np.mean(shares_a_block(pairs)) >= 0.9, words
+
+
+def test_line_dedup_clashing_names(spark):
+    rows = [(1, "one same line of text\nx", 7, 8, 9, 10, "a", "b"), (2, "one same line of text", 7, 8, 9, 10, "a", "b")]
+    names = "doc_id long, text string, n_lines int, _n_lines int, dropped int, _id int, row string, kept string"
+    out = line_dedup(spark.createDataFrame(rows, names))
+    assert out.columns == ["doc_id", "text", "__n_lines", "_n_lines", "dropped", "_id", "row", "kept", "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, rows[0][1], 7, 8, 9, 10, "a", "b", 2, 0), (2, "", 7, 8, 9, 10, "a", "b", 1, 1)]
+
+
 def test_line_dedup_short_lines(spark):
     rows = [(1, "Read more\n日本語の長い一行です。\n--\n--\nPage 1\nonly here"), (2, "read MORE!\n日本語の長い一行です。\n\nx\nPage 2"), (3, "X\n\nread more")]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
