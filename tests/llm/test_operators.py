@@ -15,7 +15,7 @@ from sketchspark.llm import queries
 from sketchspark.llm.decontaminate import decontaminate
 from sketchspark.llm.elias_fano import Boundaries, encode_boundaries, token_shards
 from sketchspark.llm.language_id import CompressionClassifier, canonical, identify
-from sketchspark.llm.line_dedup import line_dedup, normalise, WORDS, Split, _near, blocks, simhashes, within_edits
+from sketchspark.llm.line_dedup import Split, _near, blocks, line_dedup, normalise, signs, within_edits
 from sketchspark.llm.ngram_join import ngram_jaccard_join, signatures
 from sketchspark.llm.packing import best_fit, best_fit_pack
 from sketchspark.llm.suffix_dedup import suffix_dedup
@@ -192,8 +192,8 @@ def shares_a_block(pairs):
     """Whether each pair of normalised lines becomes a candidate."""
     split = Split([x for pair in pairs for x in pair])
     owner, value = blocks(split)
-    at, sim, size = np.searchsorted(owner, np.arange(2 * len(pairs) + 1)), simhashes(split), np.where(split.words < WORDS, -split.chars, split.chars)
-    near = _near(sim[::2], sim[1::2], size[::2], size[1::2], 0.8, 24)
+    at, (sim, size) = np.searchsorted(owner, np.arange(2 * len(pairs) + 1)), signs(split)
+    near = _near(sim[::2], sim[1::2], size[::2], size[1::2], 0.8, 20)
     return [bool(n and set(value[at[2 * i] : at[2 * i + 1]].tolist()) & set(value[at[2 * i + 1] : at[2 * i + 2]].tolist())) for i, n in enumerate(near)]
 
 
