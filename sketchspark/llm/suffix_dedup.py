@@ -8,15 +8,21 @@ corpus.  A suffix for every byte would be many times the corpus, so the array is
    if their anchors' k-grams are.  About 2 / (length - k) of all positions are anchors;
    the windows lo..hi that pick one anchor span its region text[lo : hi + length].
 2. Anchors move once, as packed arrays by k-gram hash.  Equal regions (128 bits of hash)
-   repeat whole.  A region that is alone, but whose k-gram is not, is open.
+   repeat whole.  A region that is alone, but whose k-gram is not, is open.  Before they move,
+   the copies of a region in one part of the input are known to repeat: one of them goes to
+   the k-gram's bucket, the others elsewhere, so a passage with any number of copies sends
+   one anchor from each part to one bucket.
 3. Open regions and one of each equal region of the same k-gram are suffix sorted: the
    contexts right of the k-gram and, reversed, left of it are ordered deep-shallow -
    multikey quicksort on bytes to a shallow depth, then a blind trie for each group that
    still shares its prefix.  With the two arrays' common-prefix lengths, the window at
    offset o is repeated iff another region is in the same class of both orders at depths
    length - k - o and o.
-4. A k-gram with more than ``crowd`` open regions is not brought into one task: its
-   windows are hashed (128 bits) and counted by partial aggregation, with the same result.
+4. A k-gram with more than ``crowd`` distinct regions is not brought into one task: its
+   windows are dealt to ranges of offsets, and regions meet only if they agree in all that
+   the windows of a range have in common.  Should more than ``hash_from`` regions agree
+   there, their windows are hashed (128 bits) and counted by partial aggregation instead.
+   The results are the same in all three ways.
 
 Defined results: null text is empty; text shorter than ``length`` keeps everything; a
 repeated row repeats all its windows; rows are told apart by (id, text), so equal or null
@@ -76,7 +82,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     return grams[at], region, at, lo, hi
 
 
-KINDS = {"gram": "u8", "region": "u8", "id": "i8", "null_id": "u1", "text": "i8", "at": "i4", "lo": "i4", "hi": "i4"}
+KINDS = {"gram": "u8", "region": "u8", "id": "i8", "null_id": "u1", "text": "i8", "at": "i4", "lo": "i4", "hi": "i4", "mark": "u1"}
+ONE_OF_MANY, KNOWN = 1, 2  # marks: stands for copies in its part of the input, is one of those
 
 
 def _anchor_stage(length: int, k: int, buckets: int):
@@ -85,7 +92,14 @@ def _anchor_stage(length: int, k: int, buckets: int):
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return packed((columns[0] % U64(buckets)).astype(np.int32), dict(zip(KINDS, columns, strict=True)))
+            gram, region = columns[:2]
+            order = np.lexsort((region, gram))
+            new = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (region[order][1:] != region[order][:-1])]
+            many = ~new | np.r_[~new[1:], False]
+            mark = np.zeros(len(gram), np.uint8)
+            mark[order[many]] = np.where(new[many], ONE_OF_MANY, KNOWN)
+            where = np.where(mark == KNOWN, mix64(columns[4].view(U64) + columns[5].astype(U64)), gram) % U64(buckets)
+            return packed(where.astype(np.int32), dict(zip(KINDS, [*columns, mark], strict=True)))
 
         for batch in batches:
             ids = batch.column(0)
@@ -119,23 +133,21 @@ def _match_stage(length: int, crowd: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in unpacked(batches, KINDS):
-            order = np.argsort(x["gram"], kind="stable")
-            gram = x["gram"][order]
-            start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-            order = order[np.repeat(np.diff(np.r_[start, len(gram)]) > 1, np.diff(np.r_[start, len(gram)]))]
+            known = x["mark"] == KNOWN
+            done = np.flatnonzero(known)
+            order = np.flatnonzero(~known)
             order = order[np.lexsort((x["region"][order], x["gram"][order]))]
-            if not len(order):
-                continue
             gram, region = x["gram"][order], x["region"][order]
-            new_gram = np.r_[True, gram[1:] != gram[:-1]]
-            new = new_gram | np.r_[True, region[1:] != region[:-1]]
+            new_gram = np.r_[True, gram[1:] != gram[:-1]][: len(order)]
+            new = (new_gram | np.r_[True, region[1:] != region[:-1]])[: len(order)] if len(order) else new_gram
             first = np.flatnonzero(new)
-            copies = np.diff(np.r_[first, len(order)])
-            whole = np.repeat(copies > 1, copies)
+            rows_of = np.diff(np.r_[first, len(order)])
+            copies = np.add.reduceat(1 + (x["mark"][order] == ONE_OF_MANY), first) if len(first) else rows_of
+            whole = np.repeat(copies > 1, rows_of)
             group = np.cumsum(new_gram)[first] - 1  # of distinct regions
             members, alone = np.bincount(group), np.bincount(group, copies == 1) > 0
             asked = (members > 1) & alone
-            for rows, kind in ((order[whole], 0), (order[first[asked[group]]], 1)):
+            for rows, kind in ((np.r_[done, order[whole]], 0), (order[first[asked[group]]], 1)):
                 if len(rows):
                     n = len(rows)
                     many = members[group[asked[group]]] > crowd if kind else np.zeros(n, bool)
@@ -330,6 +342,25 @@ def _sort_stage(length: int, k: int, limit: int = 20_000):
     return run, SPAN
 
 
+def _split_stage(length: int, k: int, ranges: int = 8):
+    """Regions of a crowded k-gram by ranges of window offsets; the new gram is a hash of what a range's windows share."""
+    step = -(-(length - k + 1) // ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for gram, opened, id_, th, at, lo, hi, region in zip(*(batch.column(c).to_pylist() for c in ("gram", "open", "id", "th", "at", "lo", "hi", "region")), strict=True):
+                for a in range(0, length - k + 1, step):
+                    low, high = at - min(a + step - 1, at - lo), at - max(a, at - hi)
+                    if low <= high:
+                        shared = region[at - a - lo : at - a - step + 1 + length - lo]
+                        out.append((xxhash.xxh3_64_intdigest(shared, gram % (1 << 64) ^ a) - (1 << 63), opened, id_, th, at, low, high, region[low - lo : high - lo + length]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["gram", "open", "id", "th", "at", "lo", "hi", "region"])
+
+    return run, "gram long, open boolean, id long, th long, at int, lo int, hi int, region binary"
+
+
 def _window_stage(length: int):
     """Every window of a crowded region, as a hash."""
 
@@ -372,7 +403,7 @@ def _cut_stage(length: int, with_text: bool):
     return run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", removed array<struct<start: long, end: long>>, kept binary" if with_text else "")
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, crowd: int = 20_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, crowd: int = 256, hash_from: int = 20_000, with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, removed, kept]): one row per input row.
 
     gram: bytes of an anchor's k-gram, about a third of length by default."""
@@ -389,14 +420,18 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mine = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     run, schema = _region_stage(length)
     regions = ws.save(texts.join(asked, mine).select("id", "th", "asked", "_text").mapInArrow(run, schema), "regions")
+    run, schema = _split_stage(length, k)
+    parts = ws.save(regions.where("crowded").mapInArrow(run, schema), "parts")
+    agree = parts.groupBy("gram").count().where(F.col("count") > hash_from).select("gram")
     run, schema = _sort_stage(length, k)
-    sorted_ = regions.where("not crowded").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
+    alike = regions.where("not crowded").select(*parts.columns).unionAll(parts.join(agree, "gram", "left_anti").select(*parts.columns))
+    sorted_ = alike.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
     run, schema = _window_stage(length)
-    windows = regions.where("crowded").mapInArrow(run, schema)
+    windows = parts.join(agree, "gram").mapInArrow(run, schema)
     twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     counted = windows.where("open").join(twice, "key").select("id", "th", "lo", F.col("lo").alias("hi"))
     spans = ws.save(whole.unionByName(sorted_).unionByName(counted).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    ws.drop("found", "regions")
+    ws.drop("found", "regions", "parts")
     run, schema = _cut_stage(length, with_text)
     out = texts.join(spans, mine, "left").select(F.col("_id").alias("id"), "_text", "spans").mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

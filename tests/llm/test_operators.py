@@ -53,13 +53,13 @@ def brute_substrings(texts, length):
         yield len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) > 0).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [20_000, 2])
-def test_suffix_dedup(spark, crowd):
+@pytest.mark.parametrize("ways", [{}, {"crowd": 2}, {"crowd": 2, "hash_from": 2}])
+def test_suffix_dedup(spark, ways):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab") for _ in range(60)) for _ in range(4)]
     rows = [(rng.choice([i, 5, None]), "".join(rng.choice(base)[rng.randrange(20) :][: rng.randrange(60)] if rng.random() < 0.7 else rng.choice("ab") * rng.randrange(30) for _ in range(rng.randrange(8))) if rng.random() < 0.95 else None) for i in range(60)]
     want = sorted((str(i), *r) for (i, _), r in zip(rows, brute_substrings([(t or "").encode() for _, t in rows], 25), strict=True))
-    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=25, crowd=crowd).collect()
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=25, **ways).collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
 
 
