@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import ROLLING, U64, byte_chunks, byte_view, mix64
 
 CACHE_PIECES = 1 << 20
+LONG_PRETOKEN = 4096
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed values of the pretokenizer
 
 
@@ -80,6 +81,8 @@ class PrefixCounter:
         self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], np.int64)
         self.token = np.array(token, np.int64)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._compatible: dict[int, bool] = {}
+        self._joined, self._left, self._right = pairs, self.left.tolist(), self.right.tolist()
         self.keys = np.zeros(0, U64)  # known pieces, sorted; slot and hits go with them
         self.slot = self.hits = np.zeros(0, np.int64)
         self.pool, self.starts = np.zeros(0, np.int16), np.zeros(1, np.int64)
@@ -109,6 +112,19 @@ class PrefixCounter:
             open_, a, b, limit = open_[go], a[go], b[go], limit[go]
         return out[back]
 
+    def _fits(self, a: int, b: int) -> bool:
+        """`compatible` of one pair."""
+        limit = len(self.left) << 1
+        while True:
+            if self._joined.get(a << 20 | b, limit) < limit:
+                return False
+            if a < 256 and b < 256:
+                return True
+            if a > b and a >= 256 or b < 256:
+                limit, a = a, self._right[a]
+            else:
+                limit, b = b + 1, self._left[b]
+
     def counts(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, offsets): for each pretoken data[start : start + size] the token counts of its prefixes of 1, 2, ... bytes."""
         offsets = np.r_[0, np.cumsum(size)]
@@ -117,7 +133,11 @@ class PrefixCounter:
         sizes, at = size[order], 0
         while at < len(order):  # blocks of about equal sizes and bounded area
             width = int(sizes[at])
-            end = int(np.searchsorted(sizes, width + width // 4 + 1, "right"))
+            if width > LONG_PRETOKEN:
+                out[offsets[order[at]] : offsets[order[at] + 1]] = self._long(data[start[order[at]] : start[order[at]] + width])
+                at += 1
+                continue
+            end = int(np.searchsorted(sizes, min(LONG_PRETOKEN, width + width // 4 + 1), "right"))
             end = min(end, at + max(1, (1 << 18) // max(1, int(sizes[end - 1]))))
             rows = order[at:end]
             table = self._block(data, start[rows], size[rows])
@@ -127,6 +147,41 @@ class PrefixCounter:
             at = end
         return out, offsets
 
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """One long pretoken: tokens are found at all places together, then the recurrence runs along it."""
+        n, compatible = len(data), self._compatible
+        count, last = np.zeros(n + 1, np.int32), [0] * (n + 1)
+        for low in range(0, n, 1 << 18):  # tokens that begin in a stretch; those that end behind it are held over
+            start = np.arange(low, min(n, low + (1 << 18)))
+            node, depth, found = np.zeros(len(start), np.int64), 0, []
+            while len(start):
+                node = self._find(self.step_keys, self.step_to, node << 8 | data[start + depth].astype(np.int64))
+                depth += 1
+                token = self.token[np.maximum(node, 0)]
+                hit = (node >= 0) & (token >= 0)
+                found.append((start[hit] + depth, start[hit], token[hit]))
+                alive = (node >= 0) & (start + depth < n)
+                start, node = start[alive], node[alive]
+            more = [np.concatenate(c) for c in zip(*found, strict=True)]
+            ends, starts, tokens = more if not low else [np.r_[a, b] for a, b in zip(over, more, strict=True)]
+            late = ends > low + (1 << 18)
+            over = [c[late] for c in (ends, starts, tokens)]
+            ends, starts, tokens = (c[~late] for c in (ends, starts, tokens))
+            order = np.argsort(ends, kind="stable")
+            for i, j, t in zip(ends[order].tolist(), starts[order].tolist(), tokens[order].tolist(), strict=True):
+                if j:
+                    pair = last[j] << 20 | t
+                    fits = compatible.get(pair)
+                    if fits is None:
+                        if len(compatible) > CACHE_PIECES:
+                            compatible.clear()
+                        fits = compatible[pair] = self._fits(last[j], t)
+                    if not fits:
+                        continue
+                last[i] = t
+                count[i] = count[j] + 1
+        return count[1:]
+
     def _block(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         width = int(size.max())
         column = np.arange(width)
@@ -163,10 +218,10 @@ class PrefixCounter:
     # --- pieces -------------------------------------------------------------------------------
 
     def _plan(self, piece: bytes) -> list[bytes | tuple]:
-        """Pretokens of a piece, with marks where a prefix ends in blanks or in a contraction."""
+        """Pretokens of a piece without special strings, with marks where a prefix ends in blanks or in a contraction."""
         text = piece.decode()
-        if any(s in text for s in self.specials):
-            return [("whole", text)]
+        if not text:
+            return []
         parts = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         plan: list[bytes | tuple] = []
         for part, after in zip(parts, [*parts[1:], ""], strict=True):
@@ -178,16 +233,40 @@ class PrefixCounter:
                 plan.append(part.encode())
         return plan
 
-    def _whole(self, text: str) -> np.ndarray:
-        """Prefix counts of a piece with a special token's string, from the library."""
-        out: list[int] = []
-        for i, c in enumerate(text, 1):
-            n = len(self.tokenizer.encode(text[:i], add_special_tokens=False).ids)
-            out.extend([n] * len(c.encode()))
-        return np.array(out, np.int32)
+    def _special_parts(self, text: str) -> list[tuple[str, str]]:
+        """(ordinary text, special string after it): leftmost and longest first, as the library splits; the last has none."""
+        out, at = [], 0
+        while True:
+            found = min(((text.find(x, at), -len(x)) for x in self.specials if text.find(x, at) >= 0), default=None)
+            if found is None:
+                return [*out, (text[at:], "")]
+            out.append((text[at : found[0]], text[found[0] : found[0] - found[1]]))
+            at = found[0] - found[1]
+
+    def _with_specials(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Prefix counts of pieces with special strings: ordinary up to a string's last byte, where it becomes one token."""
+        parts = [self._special_parts(p.decode()) for p in pieces]
+        known = self._mixed([(a + x[:-1]).encode() for part in parts for a, x in part], plain=True)
+        out = []
+        for part in parts:
+            base, done = 0, []
+            for a, x in part:
+                c = known.pop(0) + base
+                done.append(c)
+                if x:
+                    size = len(a.encode())
+                    base = (int(c[size - 1]) if size else base) + 1
+                    done.append(np.array([base], np.int32))
+            out.append(np.concatenate(done))
+        return out
 
-    def _mixed(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Prefix counts of pieces of several pretokens."""
+    def _mixed(self, pieces: list[bytes], plain: bool = False) -> list[np.ndarray]:
+        """Prefix counts of pieces of several pretokens; plain: none holds a special string."""
+        special = [] if plain else [i for i, p in enumerate(pieces) if any(x.encode() in p for x in self.specials)]
+        if special:
+            held = dict(zip(special, self._with_specials([pieces[i] for i in special]), strict=True))
+            rest = iter(self._mixed([p for i, p in enumerate(pieces) if i not in held], plain=True))
+            return [held[i] if i in held else next(rest) for i in range(len(pieces))]
         plans = [self._plan(p) for p in pieces]
         words = list(dict.fromkeys(x for plan in plans for part in plan for x in ([part] if isinstance(part, bytes) else part[1:]) if isinstance(x, bytes)))
         size = np.array([len(w) for w in words], np.int64)
@@ -199,8 +278,6 @@ class PrefixCounter:
             for part in plan:
                 if isinstance(part, bytes):
                     c = known[part] + base
-                elif part[0] == "whole":
-                    c = self._whole(part[1]) + base
                 elif part[0] == "short":
                     c = known[part[1]] + base
                     c[:-1] = base + np.arange(1, len(c))
@@ -212,7 +289,7 @@ class PrefixCounter:
                 first = base + known[part[2]][len(part[1]) :] if isinstance(part, tuple) and part[0] == "blank" else None
                 base = end
                 parts.append(c)
-            out.append(np.concatenate(parts))
+            out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
         return out
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, plain: np.ndarray) -> None:
