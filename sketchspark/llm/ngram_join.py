@@ -174,11 +174,11 @@ def _sign(width: int, percent: int, buckets: int):
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             out = packed((columns[0] % U64(buckets)).astype(np.int32), dict(zip(names, columns, strict=True)))
             n = out.num_rows
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *out.columns], ["id", "hi", "lo", "n_shingles", "bucket", *names])
+            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 5, *out.columns], ["id", "th", "hi", "lo", "n_shingles", "bucket", *names])
 
         for batch in batches:
-            ids = batch.column(0)
-            data, offsets = byte_view(batch.column(1))
+            ids, hashes = batch.column(0), batch.column(1)
+            data, offsets = byte_view(batch.column(2))
             for i, j in byte_chunks(offsets):
                 rows = []
                 for found in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
@@ -193,7 +193,7 @@ def _sign(width: int, percent: int, buckets: int):
                         count += n
                 hi, lo, size = zip(*rows, strict=True)
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * len(names)], ["id", "hi", "lo", "n_shingles", "bucket", *names])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, n), hashes.slice(i, n), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * len(names)], ["id", "th", "hi", "lo", "n_shingles", "bucket", *names])
                 if count >= FLUSH:
                     yield flush()
                     held.clear()
@@ -201,7 +201,7 @@ def _sign(width: int, percent: int, buckets: int):
         if held:
             yield flush()
 
-    return run, f"id long, hi long, lo long, n_shingles long, {packed_schema(names)}"
+    return run, f"id long, th long, hi long, lo long, n_shingles long, {packed_schema(names)}"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(width: int):
-    """Shingle arrays of the classes' representatives; another text under the same id is left out."""
+    """Shingle arrays of the classes' representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +335,8 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, n_links): one row per input row; n_links counts linked rows, copies included."""
     ws = Workspace(df.sparkSession, "ngram-join")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("_text"))
     run, schema = _sign(width, percent, bucket_count(df.sparkSession, 2 * text_bytes(docs, "_text")))
     signed = ws.save(docs.mapInArrow(run, schema), "signed")
     shared = ws.save(by_bucket(signed.where("bucket is not null").select("bucket", "sig", "sid", "band", "need")).mapInArrow(_meet, "sig long, sid long, band int, need int"), "shared")
@@ -346,14 +347,16 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         shared = ws.save(left.join(pivots, "sig").select("sig", "sid", "band", "need", "pivot"), f"shared{turn}").drop("pivot") if turn == "1" else left.join(pivots, "sig")
     edges = ws.save(shared.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), "edges")
     ws.drop("shared", "shared1")
-    rows = ws.save(signed.where("bucket is null").select("id", "hi", "lo", "n_shingles"), "rows")
+    rows = ws.save(signed.where("bucket is null").select("id", "th", "hi", "lo", "n_shingles"), "rows")
     ws.drop("signed")
     labels = components(ws, edges)
-    classes = ws.save(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    wanted = classes.join(labels, F.col("hi") == F.col("node")).select("id", "hi", "lo", "copies", "label")
+    classes = ws.save(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("copies")), "classes")
+    # one row of each class gives its text: rows are told apart by (id, text), equal rows by nothing but their number
+    wanted = classes.join(labels, F.col("hi") == F.col("node")).select("first.*", "hi", "lo", "copies", "label")
     run, schema = _fetch(width)
-    texts = docs.withColumnRenamed("id", "_id")
-    sets = ws.save(wanted.join(texts, F.col("id").eqNullSafe(F.col("_id"))).mapInArrow(run, schema), "sets")
+    texts = docs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_text")
+    found = wanted.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).mapInArrow(run, schema)
+    sets = ws.save(found.dropDuplicates(["hi", "lo"]), "sets")
     weight = sets.groupBy("label").agg(F.count("*").alias("m"), F.sum(F.length("items") / 8).alias("items")).where("m > 1").select("label", F.greatest(F.lit(1), F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("items") / TILE_ITEMS)).cast("int").alias("tiles"))
     side = F.pmod(F.xxhash64("hi", "lo"), F.col("tiles")).cast("int")
     tiles = sets.join(weight, "label").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
@@ -362,7 +365,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ws.drop("sets", "edges")
     key = lambda hi, lo: F.concat_ws(":", hi, lo)
     joined = components(ws, links.select(key("hi", "lo").alias("a"), key("root_hi", "root_lo").alias("b")), "link")
-    named = classes.withColumn("key", key("hi", "lo"))
+    named = classes.drop("first").withColumn("key", key("hi", "lo"))
     degree = links.groupBy("hi", "lo").agg(F.sum("n_links").alias("n_links"))
     group = F.coalesce("label", "key")
     placed = named.join(joined, named["key"] == joined["node"], "left").select("hi", "lo", "id", "copies", group.alias("group"))
