@@ -7,14 +7,15 @@ the successor of the length in the residual order and goes on until a bin's two
 have no bit of the document.  Without one, a bin is opened.  A document longer than a bin
 fills bins of its own with whole pieces, and its last piece is packed.
 
-Documents are dealt to shards by a hash of the row, about ``shard_docs`` in each, and a
-shard is packed by one task; a hot source is spread like all else, and every shard's work is
-bounded.  A bin never mixes shards, so its constraint is checked in full.
+Documents are dealt to shards by a hash of the row and its place in the measured table, about
+``shard_docs`` in each, and a shard is packed by one task; a hot source and repeated rows are
+spread like all else, and every shard's work is bounded.  A bin never mixes shards, so its constraint is checked in full.
 
 Length is the number of words unless ``length_col`` is given.
 
 Defined results: null or empty text (length 0) gets one row with a null bin; a null source
-conflicts with nothing; repeated rows are separate documents of one cluster.
+conflicts with nothing; repeated rows are separate documents of one cluster; items of equal
+length go by id, cluster and source; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +35,31 @@ from .line_dedup import normalise
 
 
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """(bin of each item, residual of each bin); items are taken in the given order; -1 is no source or cluster."""
+    """(bin of each item, residual of each bin); items are taken in the given order; -1 is no source or cluster.
+
+    The search for equal items starts where the last of them ended: bins that took or refused one
+    refuse all that follow, as bitmaps only gain bits and residuals only shrink."""
     order: list[int] = []  # residual << 32 | bin
     residual: list[int] = []
     source_bits: list[int] = []
     cluster_bits: list[int] = []
     out = []
+    last: tuple[int, int, int] | None = None
+    floor = 0
     for length, source, cluster in zip(lengths, sources, clusters, strict=True):
         s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
-        at = bisect_left(order, length << 32)
+        floor = floor if (length, source, cluster) == last and (s or c) else length << 32
+        last = (length, source, cluster)
+        at = bisect_left(order, floor)
         while at < len(order):
             bin_ = order[at] & 0xFFFFFFFF
             if not (source_bits[bin_] & s or cluster_bits[bin_] & c):
+                floor = order[at]
                 del order[at]
                 break
             at += 1
         else:
+            floor = (capacity + 1) << 32
             bin_ = len(residual)
             residual.append(capacity)
             source_bits.append(0)
@@ -81,7 +91,7 @@ def _pack_stage(capacity: int):
     names = ["id", "piece", "start", "n_words", "bin_id", "place", "residual"]
 
     def pack(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (-(r[3] % capacity), -r[3], r[0] is None, r[0] or 0, r[2]))
+        rows.sort(key=lambda r: (-(r[3] % capacity), -r[3], r[0] is None, r[0] or 0, r[2], r[1] is None, r[1] or ""))
         named = {s: i for i, s in enumerate(sorted({r[1] for r in rows if r[1] is not None}))}
         often = {c: i for i, c in enumerate(c for c, n in Counter(r[2] for r in rows).items() if n > 1)}
         short = [r for r in rows if r[3] % capacity]
@@ -124,6 +134,6 @@ def best_fit_pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", t
         measured = df.select(columns[0], columns[1], F.xxhash64(columns[2]).alias("cluster"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"))
     rows = ws.save(measured, "rows")
     shards = max(1, -(-rows.count() // shard_docs))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length"), F.lit(shards)).cast("long"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     run, schema = _pack_stage(capacity)
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, schema).withColumnRenamed("id", id_col)
