@@ -21,7 +21,9 @@ The fit reads a bounded sample of labelled rows: `per_label` toxic documents and
 `clean_factor` times as many clean ones, the least hashes of their ids, `sample_chars` characters of each; these go to the driver.
 
 Defined results: null or empty text, or text without words of three letters, has the lowest
-score; without labels of both kinds every score is 0.  Equal texts, equal scores.
+score; without labels of both kinds every score is 0; an empty table gives no rows.  Equal
+texts, equal scores.  Of rows with one id the fit reads the least text.  `with_score` keeps all
+columns but one of the score's name, which it replaces; `score` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ROLLING, U64, byte_chunks, byte_view, mix64, word_spans
 from .language_id import in_fold
@@ -43,6 +46,7 @@ SPAN, DECAY, WINDOW = 6, 0.5, 8
 SYMBOLS = 32
 CACHE_WORDS = 1 << 19
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")  # those of `word_spans`
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 
 
@@ -69,16 +73,17 @@ def letters(word: str) -> str:
 def words_of(text: str) -> list[str]:
     """Letters of the words; one-letter tokens that follow one another are one word."""
     out, single = [], ""
-    for token in text.split():
+    for token in BLANKS.split(text):
         word = letters(token)
+        if not word:
+            continue  # marks between letters
         if len(word) == 1:
             single += word
             continue
         if single:
             out.append(single)
             single = ""
-        if word:
-            out.append(word)
+        out.append(word)
     return [*out, single] if single else out
 
 
@@ -161,6 +166,7 @@ class StringKernelSVM:
             words = [letters(str(view[begin[i] : end[i]], "utf-8")) for i in first[new]]
             scores = self.word_scores(words)
             scores[[len(w) == 1 for w in words]] = -2.0  # marks a one-letter token
+            scores[[not w for w in words]] = -3.0  # and one of marks alone
             named = np.r_[self.keys, distinct[new]]
             order = np.argsort(named)
             self.keys, self.values = named[order], np.r_[self.values, scores][order]
@@ -168,9 +174,10 @@ class StringKernelSVM:
         value = self.values[at][back] if len(distinct) else np.zeros(0)
         doc = np.searchsorted(offsets, begin, "right") - 1
         np.maximum.at(best, doc, np.maximum(value, -1.0))
-        lone = np.flatnonzero(value < -1.5)  # runs of three or more one-letter tokens are words, too
+        lone = np.flatnonzero((value < -1.5) & (value > -2.5))  # runs of three or more one-letter tokens are words, too
         if len(lone) > 2:
-            run = np.flatnonzero(np.r_[True, (np.diff(lone) > 1) | (np.diff(doc[lone]) > 0)])
+            place = np.cumsum(value > -2.5)  # among tokens with letters
+            run = np.flatnonzero(np.r_[True, (np.diff(place[lone]) > 1) | (np.diff(doc[lone]) > 0)])
             size = np.diff(np.r_[run, len(lone)])
             view = memoryview(data)
             picked = np.flatnonzero(size > 2)
@@ -294,21 +301,26 @@ def fit_texts(texts: list[str], labels: list[int], landmarks: int = 96, cost: fl
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, clean_factor: int = 2, sample_chars: int = 4000) -> StringKernelSVM:
     """Learn from the labelled rows of docs; ids that are labelled both ways are left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
-    order = Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col)
-    picked = {r[0]: r["y"] for r in known.select(id_col, "y").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.when(F.col("y") == 1, per_label).otherwise(per_label * clean_factor)).collect()}
-    rows = docs.where(F.col(id_col).isin(list(picked))).select(id_col, F.substring(text_col, 1, sample_chars).alias("t")).collect() if picked else []
+    picked = {}
+    for y, most in ((1, per_label), (0, per_label * clean_factor)):  # the least hashes: a top-k in every task
+        picked |= {r[0]: y for r in known.where(F.col("y") == y).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(most).collect()}
+    text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, sample_chars)
+    # one text of each id, should ids repeat, so the sample's bound is one of rows, too
+    rows = docs.where(F.col(id_col).isin(list(picked))).groupBy(id_col).agg(F.min(text).alias("t")).collect() if picked else []
     rows = sorted((r[0], r["t"] or "") for r in rows)
     return fit_texts([t for _, t in rows], [picked[i] for i, _ in rows])
 
 
-def _score_stage(model: StringKernelSVM, score_col: str = "score"):
+def _score_stage(model: StringKernelSVM):
+    """The last column's texts become scores."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column(batch.num_columns - 1))
             best = np.full(batch.num_rows, -1.0)
             for i, j in byte_chunks(offsets, 4 << 20):
                 best[i:j] = model.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.probability(best))], [*batch.schema.names[:-1], score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.probability(best))], [*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -322,6 +334,7 @@ def score(df: DataFrame, model: StringKernelSVM, id_col: str = "doc_id", text_co
 
 def with_score(df: DataFrame, model: StringKernelSVM, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """df with one more column, the score (which replaces a column of that name)."""
-    rows = df.drop(score_col).withColumn("_scored", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score_stage(model, score_col), f"{kinds}, `{score_col}` double")
+    others = [c for c in df.columns if c != score_col]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = rows.mapInArrow(_score_stage(model), StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in others), F.col("score").alias(score_col))
