@@ -9,8 +9,9 @@ chosen language's share of 2^-bytes over all languages; ``rejected`` marks a nar
 the runner-up needs less than ``margin`` more than the winner.
 
 The fit reads a bounded sample: the ``per_language`` labelled rows of least id hash of each
-language (at most ``languages`` of them, the most frequent), ``sample_chars`` characters of
-each, ``dictionary`` bytes in all; these go to the driver.  Predictions use whole texts.
+language (``languages`` distinct labels are read at most), ``sample_chars`` characters of
+each, ``dictionary`` bytes in all, or a language's share of ``total`` bytes if that is less;
+these go to the driver.  Of rows with one id and language the least text is read.  Predictions use whole texts.
 
 Defined results: null text or text without a letter is "und" with score 0, and so is every
 text where nothing is labelled.  Equal texts get equal predictions; ties go to the
@@ -82,17 +83,21 @@ def in_fold(id_col: str, fold: int = 0, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, sample_chars: int = 4000, dictionary: int = 1 << 17, languages: int = 64, margin: float = 0.01) -> CompressionClassifier:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, sample_chars: int = 4000, dictionary: int = 1 << 17, languages: int = 4096, total: int = 32 << 20, margin: float = 0.01) -> CompressionClassifier:
     """Learn from rows of train with an id, a text and a language."""
     rows = train.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
     usual = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()]
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = rows.where(F.col(lang_col).isin(usual)).select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    picked = rows.select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
     ids = sorted({r[0] for r in picked.collect()})
-    texts = rows.where(F.col(id_col).isin(ids) & F.col(lang_col).isin(usual)).select(lang_col, F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, sample_chars).alias("t")).collect() if ids else []
+    texts = rows.where(F.col(id_col).isin(ids)).select(lang_col, F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, sample_chars).alias("t")).groupBy(lang_col, "h").agg(F.min("t").alias("t")).collect() if ids else []
+    dictionary = min(dictionary, total // max(1, len(usual)))
     out: dict[str, bytes] = {}
+    by_lang: dict[str, list[tuple[int, str]]] = {}
+    for r in texts:
+        by_lang.setdefault(r[lang_col], []).append((r["h"], r["t"] or ""))
     for lang in usual:
-        raw = b" ".join(canonical(t) for h, t in sorted((r["h"], r["t"] or "") for r in texts if r[lang_col] == lang))[-dictionary:]
+        raw = b" ".join(canonical(t) for _, t in sorted(by_lang.get(lang, [])))[-dictionary:]
         if len(raw) >= 8:
             out[lang] = raw
     return CompressionClassifier(out, margin)
