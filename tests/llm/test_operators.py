@@ -20,8 +20,8 @@ from sketchspark.llm.ngram_join import ngram_jaccard_join, signatures
 from sketchspark.llm.packing import best_fit, best_fit_pack
 from sketchspark.llm.suffix_dedup import suffix_dedup
 from sketchspark.llm.tiff import decode, encode, pages, read_pages, text_media
-from sketchspark.llm.token_prefix import longest_prefix, token_prefixes, tokens_at
-from sketchspark.llm.toxicity import StringKernelSVM, fit_texts, score
+from sketchspark.llm.token_prefix import PrefixCounter, longest_prefix, token_prefixes, tokens_at
+from sketchspark.llm.toxicity import StringKernelSVM, fit_texts, score, with_score
 
 EDGES = [(1, "one two three four five six seven eight"), (1, "one two three four five six seven eight"), (2, None), (None, "one two three four five six seven eight nine"), (3, ""), (4, " \n\t "), (5, "x " * 30_000), (6, "日本 é ß\n\nend"), (7, "one")]
 
@@ -145,6 +145,16 @@ def test_linked_sets_share_as_many_signatures_as_they_need(percent):
         assert any(met) or np.array_equal(a, b), (len(a), len(b))
 
 
+def test_ngram_join_of_null_ids_and_repeated_rows(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:k], "z", *words[k + 1 :]]) for k in range(0, 40, 8)]
+    one = spark.createDataFrame([(None, t) for t in texts] + [(3, texts[0])], "doc_id long, text string")
+    many = one.unionAll(one.limit(0)).crossJoin(spark.range(300).select()).unionAll(spark.createDataFrame([(9, "another text")], one.schema))
+    # a word changed at the start spoils one shingle, elsewhere four: only the first text is near enough to all others
+    got = ngram_jaccard_join(many, width=4, percent=70).groupBy("doc_id", "component_id", "n_links").count().collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 3, 1799, 300), (None, 3, 899, 1200), (3, 3, 1799, 300), (9, 9, 0, 1)]))
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
@@ -275,6 +285,14 @@ def test_best_fit_is_brute_force():
         assert best_fit(lengths, sources, clusters, 50)[0] == want
 
 
+def test_packing_of_repeated_rows(spark):
+    rows = spark.range(20_000).selectExpr("cast(7 as bigint) as doc_id", "'the same few words' as text", "'one' as source", "id % 2 as bin_id")
+    placed = best_fit_pack(rows, capacity=100, shard_docs=1000)
+    got = placed.agg(F.count("*"), F.sum("n_words"), F.count_distinct("bin_id")).first()
+    assert tuple(got) == (20_000, 80_000, 20_000)  # one cluster: no two share a bin
+    assert placed.groupBy(F.shiftright("bin_id", 32)).count().agg(F.max("count")).first()[0] < 2000
+
+
 def test_packing_keeps_all_words(spark, sf):
     d = docs(spark, sf)
     placed = best_fit_pack(d, capacity=500, shard_docs=64).toPandas()
@@ -358,6 +376,19 @@ def test_prefix_counts(spark):
         assert longest_prefix(table, r.n_tokens) == len(text.encode())
 
 
+def test_prefix_counts_of_very_long_words():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, count, rng = Tokenizer.from_file(path), PrefixCounter(path), random.Random(2)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))
+    for text in (word, "a" * 100_000, (word[:100_000] + "<|endoftext|>") * 3 + "x", "<|endoftext|>" * 5000, "日本語" * 20_000):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = np.cumsum(count.deltas(raw, np.array([0, len(raw)])), dtype=np.int64)
+        for n in (len(text), len(text) // 2, 20_001, 4097):
+            assert got[len(text[:n].encode()) - 1] == len(library.encode(text[:n], add_special_tokens=False).ids)
+
+
 # --- 7, 8 ---------------------------------------------------------------------------------------
 
 
@@ -381,16 +412,25 @@ def test_toxicity_gaps_and_inserts():
     clean = [" ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(40)) for _ in range(120)]
     toxic = [t.replace(" ", f" {rng.choice(['grobnik', 'fuzzlewump'])} ", 1) for t in clean[:60]]
     model = fit_texts(toxic + clean[60:], [1] * 60 + [0] * 60)
-    texts = ["well you g.r.o.b.n.i.k there", "a g r o b n i k", "grobxnik tone", "fuzzlewumps", "nothing to see here", ""]
+    texts = ["well you g.r.o.b.n.i.k there", "a g r o b n i k", "g * r * o * b * n * i * k", "grobxnik tone", "fuzzlewumps", "nothing to see here", ""]
     raw = [t.encode() for t in texts]
     p = model.probability(model.texts(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]))
-    assert (p[:4] > 0.5).all() and (p[4:] < 0.5).all()
+    assert (p[:5] > 0.5).all() and (p[5:] < 0.5).all()
 
 
 def test_toxicity_without_labels(edges):
     assert {r.predicted for r in score(edges, StringKernelSVM()).collect()} == {0}
 
 
+def test_with_score_keeps_clashing_columns(spark):
+    model = fit_texts(["you grobnik fool here"] * 30 + ["a fine day out there"] * 30, [1] * 30 + [0] * 30)
+    rows = [("x", "you grobnik", 1, 0.5, "r"), ("y", None, 2, 0.5, "r")]
+    out = with_score(spark.createDataFrame(rows, "_scored string, text string, doc_id long, toxicity double, row string"), model)
+    assert out.columns == ["_scored", "text", "doc_id", "row", "toxicity"]
+    assert [r[:4] for r in out.orderBy("doc_id").collect()] == [("x", "you grobnik", 1, "r"), ("y", None, 2, "r")]
+    assert with_score(out.limit(0), model).count() == 0 and score(out.limit(0), model).count() == 0
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 
