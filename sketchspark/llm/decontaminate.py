@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Texts become templates: decimal marks are joined, a capitalised word after a lower-case one
-is a name, all but letters and digits is blank, words are lower-cased, digits are numbers,
-and a unit word after a number is a unit.  Each rewrite keeps the number of words, so a
-template's word and the raw word at the same place belong together: the slots.
+Texts become templates: decimal marks are joined, and so are a capitalised word after a
+lower-case one or a number and up to two more capitalised words: they are one name.  All but
+letters and digits is blank, words are lower-cased, digits and number words are numbers, and
+a unit word after a number is a unit.  From there on each rewrite keeps the number of words, so
+a template's word and the raw word at the same place belong together: the slots.
 
 Windows of ``width`` template words with ``literal`` ordinary words at least are hashed
 (64 bits of 8 words; the words are compared as well) and joined with the benchmark's.  Only
@@ -26,22 +27,42 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Unit words that become a placeholder after a number.
-UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "in", "lb", "oz", "l", "ml", "s", "min", "h", "hours", "hour", "minutes", "days", "day", "weeks", "years", "meters", "miles", "dollars", "euros", "cents", "percent", "apples", "items")
-NAME, NUMBER, UNIT = "Ⓝ", "#", "@"
+#: Unit words that become a placeholder after a number, and words that are numbers.
+UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "km", "m", "cm", "mm", "mi", "ft", "in", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "kilometers", "kilometres", "l", "ml", "liter", "liters", "litre", "litres", "gallon", "gallons",
+         "s", "min", "h", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "pound", "pounds", "gram", "grams", "kilogram", "kilograms", "degree", "degrees", "percent")
+NUMBERS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
+NAME, NUMBER, UNIT, JOINED = "Ⓝ", "#", "@", "Ⓙ"
+#: (pattern, replacement) steps that Java's and RE2's expressions read alike.
+CAPITAL = r"\p{Lu}\p{Ll}+"
+DECIMAL = (r"([0-9])[.,]([0-9])", r"\1\2")
+#: A second and a third name are drawn to the first one, which stands after a lower-case letter or a digit.
+SURNAME = (rf"([\p{{Ll}}0-9][,;:]? )({CAPITAL}) ({CAPITAL})", rf"\1\2{JOINED}\3")
+THIRD = (rf"({JOINED}{CAPITAL}) ({CAPITAL})", rf"\1{JOINED}\2")
+NAMED = (rf"([\p{{Ll}}0-9][,;:]? ){CAPITAL}(?:{JOINED}{CAPITAL})*", rf"\1{NAME}")
+BREAK = (rf"[^\p{{L}}\p{{N}}{NAME}{JOINED}]+", " ")
+DIGITS = (r"[0-9]+", NUMBER)
+MEASURE = (rf"({NUMBER} )({'|'.join(UNITS)})( |$)", rf"\1{UNIT}\3")
 
 
-def raw_words(text: Column) -> Column:
-    joined = F.regexp_replace(text, r"([0-9])[.,]([0-9])", "$1$2")
-    return F.split(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{N}}{NAME}]+", " ")), " ", -1)
+def rewritten(text: Column, *steps: tuple[str, str]) -> Column:
+    for pattern, new in steps:
+        text = F.regexp_replace(text, pattern, new.replace("\\", "$"))
+    return text
 
 
-def template_words(text: Column) -> Column:
-    joined = F.regexp_replace(text, r"([0-9])[.,]([0-9])", "$1$2")
-    named = F.regexp_replace(joined, r"([a-z][,;:]? )[A-Z][a-z]+", f"$1{NAME}")
-    lower = F.lower(F.trim(F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{NAME}]+", " ")))
-    numbered = F.regexp_replace(lower, r"[0-9]+", NUMBER)
-    return F.split(F.regexp_replace(numbered, rf"({NUMBER} )({'|'.join(UNITS)})( |$)", f"$1{UNIT}$3"), " ", -1)
+def joined(text: Column) -> Column:
+    """Decimal marks drawn together, and names of several words."""
+    return rewritten(text, DECIMAL, SURNAME, THIRD)
+
+
+def raw_words(joined_text: Column) -> Column:
+    return F.split(F.trim(rewritten(joined_text, BREAK)), " ", -1)
+
+
+def template_words(joined_text: Column) -> Column:
+    lower = F.lower(F.trim(rewritten(joined_text, NAMED, BREAK)))
+    words = F.split(rewritten(lower, DIGITS, MEASURE), " ", -1)
+    return F.transform(words, lambda w: F.when(w.isin(*NUMBERS), NUMBER).otherwise(w))
 
 
 def is_slot(word: Column) -> Column:
@@ -50,7 +71,7 @@ def is_slot(word: Column) -> Column:
 
 def windows(df: DataFrame, key: list[str], text: str, width: int) -> DataFrame:
     """(key, raw, words, at): one row per window; the arrays are carried by reference until a row is needed."""
-    cut = df.select(*key, F.col(text)).withColumn("words", template_words(F.col(text))).withColumn("raw", raw_words(F.col(text)))
+    cut = df.select(*key, joined(F.col(text)).alias("_joined")).withColumn("words", template_words(F.col("_joined"))).withColumn("raw", raw_words(F.col("_joined")))
     last = F.greatest(F.size("words") - width, F.lit(0))
     return cut.where("words[0] <> ''").select(*key, "raw", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
 

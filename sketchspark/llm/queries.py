@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import NAME, UNITS, decontaminate
+from .decontaminate import BREAK, DECIMAL, DIGITS, MEASURE, NAME, NAMED, NUMBERS, SURNAME, THIRD, decontaminate
 from .elias_fano import token_shards
 from .language_id import fit as fit_languages
 from .language_id import identify, in_fold
@@ -147,8 +147,16 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-_TEMPLATE = rf"string_split(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([a-z][,;:]? )[A-Z][a-z]+', '\1{NAME}', 'g'), '[^\p{{L}}\p{{N}}{NAME}]+', ' ', 'g'))), '[0-9]+', '#', 'g'), '(# )({'|'.join(UNITS)})( |$)', '\1@\3', 'g'), ' ')"
-_RAW = rf"string_split(trim(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '[^\p{{L}}\p{{N}}{NAME}]+', ' ', 'g')), ' ')"
+def _sql_rewritten(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+_JOINED = _sql_rewritten("text", DECIMAL, SURNAME, THIRD)
+_WORDS = _sql_rewritten(f"lower(trim({_sql_rewritten(_JOINED, NAMED, BREAK)}))", DIGITS, MEASURE)
+_TEMPLATE = f"list_transform(string_split({_WORDS}, ' '), lambda x: CASE WHEN x IN ({', '.join(repr(n) for n in NUMBERS)}) THEN '#' ELSE x END)"
+_RAW = f"string_split(trim({_sql_rewritten(_JOINED, BREAK)}), ' ')"
 _SLOT = f"(contains(x, '#') OR x = '@' OR contains(x, '{NAME.lower()}'))"
 _SLOT_AT = f"(contains(win[i], '#') OR win[i] = '@' OR contains(win[i], '{NAME.lower()}'))"
 ORACLE_SQL["op9_template_decontamination"] = f"""

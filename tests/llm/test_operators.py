@@ -448,6 +448,23 @@ def test_decontamination(spark):
         assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == want
 
 
+def test_decontamination_names_numbers_and_units(spark):
+    """Hand-written: full and accented names, number words and units that change."""
+    bench = spark.createDataFrame([
+        (1, "every morning the baker Bob Smith sends three trays of rolls to Carol Jones who sells them for 40 cents each at the old market"),
+        (2, "in the village José walks 12 km to see Zoë and then they share the bread that his mother made for them"),
+    ], "item_id long, text string")
+    rows = [
+        (1, "every morning the baker Tom Brown sends seven trays of rolls to Mary Ann White who sells them for 3 dollars each at the old market"),
+        (2, "in the village Émile walks 7 miles to see Ana and then they share the bread that his mother made for them"),
+        (3, "every morning the baker Tom Brown reads the news while his cat sleeps on the warm stones of the oven all day long"),
+        (4, ""), (5, None),
+    ]
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate(found, bench).collect()) == [(1, 1, "re-parameterised"), (2, 2, "re-parameterised")]
+    assert decontaminate(found, bench.limit(0)).count() == 0 and decontaminate(found.limit(0), bench, whole=True).count() == 0
+
+
 def test_decontamination_whole(spark):
     dense = "What is 12 + 7 * 3 - 5 / 2 + 9 * 4 - 6 ?"
     bench = spark.createDataFrame([(1, dense), (2, "Short item here now"), (3, "Add 3 and 4")], "item_id long, text string")
