@@ -8,12 +8,15 @@ associative, commutative and independent of partitioning.  Nulls are skipped.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..compat import agreed, stamp
 from ..errors import check
 from ..functions.hashing import hash64, unsigned, unsigned_order
 
@@ -43,12 +46,13 @@ def _registers(df: DataFrame, col: str, by: Sequence[str], p: int, strategy: str
 def hll(df: DataFrame, col: str, by: Sequence[str] = (), p: int = 14, strategy: str = "md5_64", seed: int = 0) -> DataFrame:
     """(by..., bucket, value): the registers that aren't zero."""
     check(4 <= p <= 16, "p must be 4 to 16")
-    return _registers(df, col, by, p, strategy, seed, "rank")
+    return stamp(_registers(df, col, by, p, strategy, seed, "rank"), family="hll", p=p, hash=strategy, seed=seed)
 
 
 def merge_registers(states: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    """Register-wise maximum; also rolls one state up to fewer keys."""
-    return union_all(states).groupBy(*by, "bucket").agg(F.max("value").alias("value"))
+    """Register-wise maximum; also rolls one state up to fewer keys.  States of other p, hash or seed raise."""
+    built = agreed(states)
+    return stamp(union_all(states).groupBy(*by, "bucket").agg(F.max("value").alias("value")), **built)
 
 
 def hll_alpha(m: int) -> float:
@@ -57,6 +61,7 @@ def hll_alpha(m: int) -> float:
 
 def hll_estimate(state: DataFrame, by: Sequence[str] = (), p: int = 14) -> DataFrame:
     """(by..., estimate, n_registers)"""
+    agreed([state], family="hll", p=p)
     m = 1 << p
     sums = state.groupBy(*by).agg(F.sum(F.pow(F.lit(2.0), -F.col("value"))).alias("_s"), F.count("*").alias("n_registers"))
     zeros = F.lit(m) - F.col("n_registers")
@@ -73,7 +78,7 @@ def hll_estimate(state: DataFrame, by: Sequence[str] = (), p: int = 14) -> DataF
 def ull(df: DataFrame, col: str, by: Sequence[str] = (), p: int = 14, strategy: str = "md5_64", seed: int = 0) -> DataFrame:
     """(by..., bucket, value): 2 rank - 1, or 2 rank where all bits after the bucket are zero."""
     check(4 <= p <= 26, "p must be 4 to 26")
-    return _registers(df, col, by, p, strategy, seed, f"CASE WHEN rank = {64 - p + 1} THEN 2 * rank ELSE 2 * rank - 1 END")
+    return stamp(_registers(df, col, by, p, strategy, seed, f"CASE WHEN rank = {64 - p + 1} THEN 2 * rank ELSE 2 * rank - 1 END"), family="ull", p=p, hash=strategy, seed=seed)
 
 
 def sigma(x: float) -> float:
@@ -120,6 +125,8 @@ def ull_from_histogram(counts: dict[int, int], p: int) -> float:
 def ull_estimate(state: DataFrame, by: Sequence[str] = (), p: int = 14) -> DataFrame:
     """(by..., estimate): a histogram of at most 2 (65 - p) values a group, then a scalar iteration."""
 
+    agreed([state], family="ull", p=p)
+
     @F.udf("double")
     def finish(pairs: list) -> float:
         return float(ull_from_histogram({r["value"]: r["n"] for r in pairs}, p))
@@ -136,8 +143,46 @@ FULL = -1  # 2^64 - 1 as a BIGINT
 def theta(df: DataFrame, col: str, by: Sequence[str] = (), k: int = 4096, strategy: str = "md5_64", seed: int = 0) -> DataFrame:
     """(by..., hash, theta): the k smallest distinct hashes and the (k+1)-th as threshold, both unsigned bits."""
     check(16 <= k <= 1 << 26 and k & (k - 1) == 0, "k must be a power of two, 16 to 2^26")
-    hashed = df.where(F.col(col).isNotNull()).select(*by, hash64(col, strategy, seed).alias("hash")).distinct()
-    return _trim(hashed.withColumn("theta", F.lit(FULL).cast("long")), by, k)
+    hashed = df.where(F.col(col).isNotNull()).select(*by, hash64(col, strategy, seed).alias("hash"))
+    # every task sends its k + 1 smallest hashes a group, and after the exchange every partition keeps as many
+    fold = _smallest(list(by), k + 1)
+    few = hashed.mapInArrow(fold, hashed.schema).distinct().mapInArrow(fold, hashed.schema)
+    return stamp(_trim(few.withColumn("theta", F.lit(FULL).cast("long")), by, k), family="theta", k=k, hash=strategy, seed=seed)
+
+
+def _smallest(by: list[str], n: int, flush: int = 1 << 20):
+    """The n smallest distinct hashes (unsigned) of each group of a task; hash is the last column."""
+
+    def trim(rows: pa.Table) -> pa.Table:
+        low = rows.column("hash").to_numpy() ^ np.int64(-(1 << 63))
+        if not by:
+            found = np.unique(low)[:n] ^ np.int64(-(1 << 63))
+            return pa.table({"hash": found}, schema=rows.schema)
+        group = rows.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.lexsort((low, group))
+        group, low = group[order], low[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (low[1:] != low[:-1])][: len(order)]
+        order, group = order[new], group[new]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+        place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+        return rows.take(pa.array(order[place < n]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            count += batch.num_rows
+            if count >= flush:
+                held = [trim(pa.concat_tables(held))]
+                # groups that alone fill the buffer go on as they are: there are more of them than a buffer holds
+                if held[0].num_rows > flush // 2:
+                    yield from held[0].to_batches()
+                    held = []
+                count = sum(t.num_rows for t in held)
+        if held:
+            yield from trim(pa.concat_tables(held)).to_batches()
+
+    return run
 
 
 def _trim(entries: DataFrame, by: Sequence[str], k: int) -> DataFrame:
@@ -146,17 +191,33 @@ def _trim(entries: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     cut = few.groupBy(*by).agg(F.max(F.when(F.col("_n") == k + 1, F.struct(F.lit(1).alias("o"), F.col("hash").alias("h")))).alias("_c"), F.min(unsigned_order(F.col("theta"))).alias("_t"))
     cut = cut.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.coalesce("_c.h", unsigned_order(F.col("_t"))).alias("_theta"))
     kept = few.where(F.col("_n") <= k).drop("_n", "theta")
-    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)], F.lit(True))
-    return kept.join(F.broadcast(cut) if not by else cut, on).select(*by, "hash", F.col("_theta").alias("theta"))
+    return kept.join(F.broadcast(cut) if not by else cut, _same_keys(by)).select(*by, "hash", F.col("_theta").alias("theta"))
 
 
 def theta_merge(states: Sequence[DataFrame], by: Sequence[str] = (), k: int = 4096) -> DataFrame:
-    """Union: least theta, the hashes below it, trimmed to k."""
+    """Union: least theta, the hashes below it, trimmed to k.  States of another k, hash or seed raise."""
+    built = agreed(states, family="theta", k=k)
     both = union_all(states)
-    least = F.min(unsigned_order(F.col("theta"))).over(Window.partitionBy(*by))
-    below = both.withColumn("_t", least).where(unsigned_order(F.col("hash")) < F.col("_t"))
+    least = both.groupBy(*by).agg(F.min(unsigned_order(F.col("theta"))).alias("_t"))
+    least = least.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], "_t")
+    below = both.join(least if by else F.broadcast(least), _same_keys(by)).where(unsigned_order(F.col("hash")) < F.col("_t"))
     entries = below.groupBy(*by, "hash").agg(unsigned_order(F.min("_t")).alias("theta"))
-    return _trim(entries, by, k)
+    return stamp(_trim(entries, by, k), **built)
+
+
+def theta_difference(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A without B: the hashes of a below both thetas that b hasn't; theta is the lesser one."""
+    built = agreed([a, b], family="theta")
+    theirs = b.groupBy(*by).agg(F.min(unsigned_order(F.col("theta"))).alias("_t")).select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(by)], "_t")
+    least = F.least(unsigned_order(F.col("theta")), F.coalesce("_t", F.lit((1 << 63) - 1)))
+    cut = a.join(theirs if by else F.broadcast(theirs), _same_keys(by), "left").withColumn("theta", unsigned_order(least))
+    held = b.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(by)], F.col("hash").alias("_h"))
+    left = cut.drop("_t", *(f"_k{i}" for i in range(len(by)))).where(unsigned_order(F.col("hash")) < unsigned_order(F.col("theta")))
+    return stamp(left.join(held, _same_keys(by) & (F.col("hash") == F.col("_h")), "left_anti").select(*by, "hash", "theta"), **built)
+
+
+def _same_keys(by: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)], F.lit(True))
 
 
 def theta_compact(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:

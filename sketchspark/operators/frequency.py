@@ -8,20 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..compat import agreed, stamp
 from ..errors import check
-from ..functions.hashing import GOLDEN, MASK, hash64, unsigned
+from ..functions.hashing import GOLDEN, MASK, hash64
 from .cardinality import union_all
 
 # --- Count-Min --------------------------------------------------------------------------------
 
 
 def _cell(h: Column, row: Column, depth: int, width: int, independent: bool) -> Column:
-    """Column of the cell in a row: (h + row * golden) mod 2^64 mod width, or of a hash of its own."""
+    """Column of the cell in a row: (h + row * golden) mod 2^64 mod width, or of a hash of its own.
+
+    The sum is taken in two halves of 32 bits, so plain longs hold every step."""
     if independent:
         return F.pmod(F.xxhash64(h, row), F.lit(width)).cast("int")
-    steps = F.array(*(F.lit(str(GOLDEN * r & MASK)).cast("decimal(20,0)") for r in range(depth)))
-    total = unsigned(h) + F.get(steps, row)
-    return F.pmod(F.pmod(total, F.lit(str(1 << 64)).cast("decimal(38,0)")), F.lit(width).cast("decimal(38,0)")).cast("int")
+    half, steps = F.lit(MASK >> 32), [GOLDEN * r & MASK for r in range(depth)]
+    low = h.bitwiseAND(half) + F.get(F.array(*(F.lit(x & MASK >> 32) for x in steps)), row)
+    high = (F.shiftrightunsigned(h, 32) + F.get(F.array(*(F.lit(x >> 32) for x in steps)), row) + F.shiftrightunsigned(low, 32)).bitwiseAND(half)
+    return ((high % width * F.lit((1 << 32) % width) + low.bitwiseAND(half)) % width).cast("int")
 
 
 def _cells(df: DataFrame, col: str, by: Sequence[str], width: int, depth: int, strategy: str, independent: bool, extra: Sequence[Column] = ()) -> DataFrame:
@@ -31,21 +35,26 @@ def _cells(df: DataFrame, col: str, by: Sequence[str], width: int, depth: int, s
 
 
 def cms(df: DataFrame, col: str, by: Sequence[str] = (), width: int = 2048, depth: int = 5, weight: str | None = None, counter_bits: int = 32, strategy: str = "md5_64", independent: bool = False) -> DataFrame:
-    """(by..., row, slot, count): counters that aren't zero, saturating.  Items are counted before they are spread over rows."""
-    check(width > 0 and depth > 0 and counter_bits in (32, 64), "width and depth must be positive, counter_bits 32 or 64")
+    """(by..., row, slot, count): counters that aren't zero, saturating.
+
+    One partial aggregation on the counters: a task sends width * depth rows a group at most."""
+    check(0 < width < 1 << 31 and depth > 0 and counter_bits in (32, 64), "width and depth must be positive, counter_bits 32 or 64")
     most = (1 << 32) - 1 if counter_bits == 32 else (1 << 63) - 1
-    items = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_item")).agg(F.sum(F.col(weight).cast("long") if weight else F.lit(1)).cast("long").alias("_w"))
-    cells = _cells(items, "_item", by, width, depth, strategy, independent, [F.col("_w")])
-    return cells.groupBy(*by, "row", "slot").agg(F.least(F.sum("_w"), F.lit(most)).cast("long").alias("count"))
+    weighted = df.where(F.col(col).isNotNull()).withColumn("_w", F.col(weight).cast("long") if weight else F.lit(1).cast("long"))
+    cells = _cells(weighted, col, by, width, depth, strategy, independent, [F.col("_w")])
+    out = cells.groupBy(*by, "row", "slot").agg(F.least(F.sum("_w"), F.lit(most)).cast("long").alias("count"))
+    return stamp(out, family="cms", width=width, depth=depth, hash=strategy, independent=independent)
 
 
 def cms_merge(states: Sequence[DataFrame], by: Sequence[str] = (), counter_bits: int = 32) -> DataFrame:
     most = (1 << 32) - 1 if counter_bits == 32 else (1 << 63) - 1
-    return union_all(states).groupBy(*by, "row", "slot").agg(F.least(F.sum("count"), F.lit(most)).cast("long").alias("count"))
+    built = agreed(states, family="cms")
+    return stamp(union_all(states).groupBy(*by, "row", "slot").agg(F.least(F.sum("count"), F.lit(most)).cast("long").alias("count")), **built)
 
 
 def cms_estimate(state: DataFrame, probes: DataFrame, col: str, by: Sequence[str] = (), width: int = 2048, depth: int = 5, strategy: str = "md5_64", independent: bool = False) -> DataFrame:
     """(by..., col, estimate) for each distinct probe: the least of its counters; state has width * depth rows a group at most."""
+    agreed([state], family="cms", width=width, depth=depth, hash=strategy, independent=independent)
     items = probes.select(*by, col).distinct()
     cells = _cells(items, col, by, width, depth, strategy, independent, [F.col(col)])
     return cells.join(state, [*by, "row", "slot"], "left").groupBy(*by, col).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate"))
@@ -93,9 +102,10 @@ def frequent_items(df: DataFrame, col: str, by: Sequence[str] = (), k: int = 10,
 
 
 def frequent_merge(states: Sequence[DataFrame], by: Sequence[str] = (), k: int = 10) -> DataFrame:
-    """Counts and errors add up; the k largest stay (ties by item)."""
+    """Counts and errors add up; the k largest stay (ties by item).  States of another k raise."""
+    built = agreed(states, family="frequent_items", k=k)
     total = union_all(states).groupBy(*by, "item").agg(F.sum("count").alias("count"), F.sum("error").alias("error"))
-    return top_k(total, by, k)
+    return stamp(top_k(total, by, k), **built)
 
 
 def top_k(state: DataFrame, by: Sequence[str], k: int) -> DataFrame:
@@ -108,6 +118,18 @@ def frequent_bounds(state: DataFrame) -> DataFrame:
     return state.withColumn("lower", F.greatest(F.col("count") - F.col("error"), F.lit(0))).withColumn("upper", F.col("count"))
 
 
+def frequent_estimate(state: DataFrame, probes: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., col, tracked, estimate, error, lower, upper) of each distinct probe; an item that isn't tracked has nulls."""
+    asked = probes.select(*by, F.col(col).cast("string").alias("item")).where("item is not null").distinct()
+    found = frequent_bounds(state).select(*by, "item", F.col("count").alias("estimate"), "error", "lower", "upper", F.lit(True).alias("tracked"))
+    return asked.join(found, [*by, "item"], "left").select(*by, F.col("item").alias(col), F.coalesce("tracked", F.lit(False)).alias("tracked"), "estimate", "error", "lower", "upper")
+
+
+def counted(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, entries): the sum of the counters and their number, for SpaceSaving and Misra-Gries states."""
+    return state.groupBy(*by).agg(F.sum("count").alias("n"), F.count("*").alias("entries"))
+
+
 def frequent_above(state: DataFrame, threshold: int) -> DataFrame:
     return frequent_bounds(state).where(F.col("lower") >= threshold)
 
@@ -138,10 +160,22 @@ def misra_gries(df: DataFrame, col: str, by: Sequence[str] = (), k: int = 10) ->
     return misra_gries_merge([counted], by, k)
 
 
+def misra_gries_estimate(state: DataFrame, probes: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., col, estimate) of each distinct probe: its counter, or 0."""
+    asked = probes.select(*by, F.col(col).cast("string").alias("item")).where("item is not null").distinct()
+    return asked.join(state, [*by, "item"], "left").select(*by, F.col("item").alias(col), F.coalesce("count", F.lit(0)).cast("long").alias("estimate"))
+
+
+def misra_gries_frequent(state: DataFrame, threshold: int) -> DataFrame:
+    """Items whose counter, a lower bound, reaches the threshold."""
+    return state.where(F.col("count") >= threshold)
+
+
 def misra_gries_merge(states: Sequence[DataFrame], by: Sequence[str] = (), k: int = 10) -> DataFrame:
-    """Counts add up; beyond k, the (k+1)-th largest is subtracted from all and the positive ones stay."""
+    """Counts add up; beyond k, the (k+1)-th largest is subtracted from all and the positive ones stay.  States of another k raise."""
+    built = agreed(states, family="misra_gries", k=k)
     total = union_all(states).groupBy(*by, "item").agg(F.sum("count").alias("count"))
     order = Window.partitionBy(*by).orderBy(F.desc("count"), F.asc("item"))
     few = total.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
     cut = F.coalesce(F.max(F.when(F.col("_n") == k + 1, F.col("count"))).over(Window.partitionBy(*by)), F.lit(0))
-    return few.withColumn("count", F.col("count") - cut).where("count > 0").drop("_n")
+    return stamp(few.withColumn("count", F.col("count") - cut).where("count > 0").drop("_n"), **built)

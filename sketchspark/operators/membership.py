@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..compat import agreed, stamp
 from ..errors import InvalidChainComposition, UnsupportedOperation, check
 from ..functions.hashing import hash64, splitmix64_np
 from .cardinality import union_all
@@ -42,18 +43,22 @@ def _bloom_positions(h: Column, bits: int, k: int) -> Column:
 def bloom(df: DataFrame, col: str, capacity: int = 10_000, fpr: float = 0.01, strategy: str = "md5_64") -> DataFrame:
     """(pos): the bits that are set."""
     bits, k = bloom_size(capacity, fpr)
-    return _hashes(df.select(col).distinct(), col, strategy).select(F.explode(_bloom_positions(F.col("_h"), bits, k)).alias("pos")).distinct()
+    # one exchange, of positions: repeated keys and bits are folded in each task
+    set_ = _hashes(df, col, strategy).select(F.explode(_bloom_positions(F.col("_h"), bits, k)).alias("pos")).distinct()
+    return stamp(set_, family="bloom", bits=bits, hashes=k, hash=strategy)
 
 
 def bloom_member(state: DataFrame, probes: DataFrame, col: str, capacity: int = 10_000, fpr: float = 0.01, strategy: str = "md5_64") -> DataFrame:
     """(col, member) of each distinct probe: all its bits are set."""
     bits, k = bloom_size(capacity, fpr)
+    agreed([state], family="bloom", bits=bits, hashes=k, hash=strategy)
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, F.explode(F.array_distinct(_bloom_positions(F.col("_h"), bits, k))).alias("pos"))
     return asked.join(state.withColumn("_set", F.lit(1)), "pos", "left").groupBy(col).agg((F.count("_set") == F.count("*")).alias("member"))
 
 
 def bloom_merge(states: Sequence[DataFrame]) -> DataFrame:
-    return union_all(states).distinct()
+    """The union of bits.  States of another size or hash raise."""
+    return stamp(union_all(states).distinct(), **agreed(states, family="bloom"))
 
 
 # --- Quotient filters -------------------------------------------------------------------------
@@ -66,30 +71,34 @@ def _quotient(h: Column, q: int, r: int) -> list[Column]:
 
 def quotient(df: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
     """(q, r): a set of fingerprints."""
-    return _hashes(df, col, strategy).select(*_quotient(F.col("_h"), q, r)).distinct()
+    return stamp(_hashes(df, col, strategy).select(*_quotient(F.col("_h"), q, r)).distinct(), family="quotient", q=q, r=r, hash=strategy)
 
 
 def quotient_member(state: DataFrame, probes: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
+    agreed([state], family="quotient", q=q, r=r, hash=strategy)
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, *_quotient(F.col("_h"), q, r))
     return asked.join(state.select("q", "r").withColumn("_in", F.lit(True)), ["q", "r"], "left").select(col, F.coalesce("_in", F.lit(False)).alias("member"))
 
 
 def quotient_delete(state: DataFrame, items: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
-    return state.join(quotient(items, col, q, r, strategy), ["q", "r"], "left_anti")
+    built = agreed([state], family="quotient", q=q, r=r, hash=strategy)
+    return stamp(state.join(quotient(items, col, q, r, strategy), ["q", "r"], "left_anti"), **built)
 
 
 def quotient_merge(states: Sequence[DataFrame]) -> DataFrame:
-    return union_all(states).distinct()
+    """The union of fingerprints.  States of other q, r or hash raise."""
+    return stamp(union_all(states).distinct(), **agreed(states, family="quotient"))
 
 
 def cqf(df: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
     """(q, r, count): a multiset of fingerprints."""
     items = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    return items.select(*_quotient(hash64(col, strategy), q, r), "_n").groupBy("q", "r").agg(F.sum("_n").alias("count"))
+    return stamp(items.select(*_quotient(hash64(col, strategy), q, r), "_n").groupBy("q", "r").agg(F.sum("_n").alias("count")), family="cqf", q=q, r=r, hash=strategy)
 
 
 def cqf_count(state: DataFrame, probes: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
     """(col, estimate): never under the true count."""
+    agreed([state], family="cqf", q=q, r=r, hash=strategy)
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, *_quotient(F.col("_h"), q, r))
     return asked.join(state, ["q", "r"], "left").select(col, F.coalesce("count", F.lit(0)).alias("estimate"))
 
@@ -102,7 +111,8 @@ def cqf_delete(state: DataFrame, items: DataFrame, col: str, q: int = 16, r: int
 
 
 def cqf_merge(states: Sequence[DataFrame]) -> DataFrame:
-    return union_all(states).groupBy("q", "r").agg(F.sum("count").alias("count"))
+    """Counts add up.  States of other q, r or hash raise."""
+    return stamp(union_all(states).groupBy("q", "r").agg(F.sum("count").alias("count")), **agreed(states, family="cqf"))
 
 
 # --- Cuckoo -----------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..compat import agreed, stamp
 from ..errors import DeserializationError, IncompatibleSketches, UnsupportedOperation, check
 from .cardinality import union_all
 
@@ -35,15 +36,18 @@ def ddsketch(df: DataFrame, col: str, by: Sequence[str] = (), alpha: float = 0.0
     good = F.when(F.isnan(v) | (v < 0) | (v == float("inf")), F.raise_error(F.lit("DDSketch takes finite values of 0 or more"))).otherwise(v)
     rows = df.where(v.isNotNull()).select(*by, good.alias("_v"))
     bin_ = F.when(F.col("_v") > 0, F.floor(F.log("_v") / F.lit(math.log(gamma(alpha))))).cast("int")
-    return rows.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("count"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    return stamp(rows.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("count"), F.min("_v").alias("low"), F.max("_v").alias("high")), family="ddsketch", alpha=alpha)
 
 
 def ddsketch_merge(states: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    return union_all(states).groupBy(*by, "bin").agg(F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """Counts of bins add up.  States of another alpha raise."""
+    built = agreed(states, family="ddsketch")
+    return stamp(union_all(states).groupBy(*by, "bin").agg(F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high")), **built)
 
 
 def ddsketch_quantiles(state: DataFrame, ranks: Sequence[float], by: Sequence[str] = (), alpha: float = 0.01) -> DataFrame:
     """(by..., rank, value): the first bin whose cumulative count reaches rank * n; 0 and 1 are the extremes."""
+    agreed([state], family="ddsketch", alpha=alpha)
     g = gamma(alpha)
     whole = Window.partitionBy(*by)
     walk = whole.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
@@ -57,11 +61,19 @@ def ddsketch_quantiles(state: DataFrame, ranks: Sequence[float], by: Sequence[st
 
 def ddsketch_rank(state: DataFrame, value: float, by: Sequence[str] = (), alpha: float = 0.01) -> DataFrame:
     """(by..., rank): the share of values in value's bin or below."""
+    agreed([state], family="ddsketch", alpha=alpha)
     at = math.floor(math.log(value) / math.log(gamma(alpha))) if value > 0 else None
     below = F.lit(False) if value < 0 else F.col("bin").isNull() if at is None else F.col("bin").isNull() | (F.col("bin") <= at)
     return state.groupBy(*by).agg((F.sum(F.when(below, F.col("count")).otherwise(0)) / F.sum("count")).alias("rank"))
 
 
+def ddsketch_cdf(*_: object, **__: object) -> DataFrame:
+    raise UnsupportedOperation("DDSketch has no cdf or pmf: its bins are relative to values, not ranks")
+
+
+ddsketch_pmf = ddsketch_cdf
+
+
 # --- KLL and REQ ------------------------------------------------------------------------------
 
 
@@ -260,3 +272,40 @@ def quantiles(df: DataFrame, col: str, ranks: Sequence[float], by: Sequence[str]
     state = compactor(df, col, by, **({"k": 12} if name != "kll" else {}) | options, kind=name)
     pairs = F.arrays_zip(F.array(*map(F.lit, map(float, ranks))).alias("rank"), F.col("quantiles").alias("value"))
     return compactor_query(state, by, quantiles=list(ranks)).select(*by, F.explode(pairs).alias("r")).select(*by, "r.rank", "r.value")
+
+
+FACADE = {"kll": "kll", "req": "req_high", "req_low": "req_low"}
+
+
+def sketch(df: DataFrame, col: str, by: Sequence[str] = (), kind: str = "kll", **options) -> DataFrame:
+    """The state of any family of the facade; `merge`, `rank`, `cdf` and `pmf` take it with the same kind."""
+    if kind == "ddsketch":
+        return ddsketch(df, col, by, **options)
+    if kind not in FACADE:
+        raise UnsupportedOperation(f"no quantile family {kind}")
+    return compactor(df, col, by, **({"k": 12} if kind != "kll" else {}) | options, kind=FACADE[kind])
+
+
+def merge(states: Sequence[DataFrame], by: Sequence[str] = (), kind: str = "kll") -> DataFrame:
+    return ddsketch_merge(states, by) if kind == "ddsketch" else compactor_merge(states, by)
+
+
+def rank(state: DataFrame, value: float, by: Sequence[str] = (), kind: str = "kll", **options) -> DataFrame:
+    """(by..., rank): the share of values up to value."""
+    if kind == "ddsketch":
+        return ddsketch_rank(state, value, by, **options)
+    return compactor_query(state, by, ranks=[value]).select(*by, F.col("ranks")[0].alias("rank"))
+
+
+def cdf(state: DataFrame, splits: Sequence[float], by: Sequence[str] = (), kind: str = "kll") -> DataFrame:
+    """(by..., cdf): shares up to each split."""
+    if kind == "ddsketch":
+        return ddsketch_cdf()
+    return compactor_query(state, by, splits=splits).select(*by, "cdf")
+
+
+def pmf(state: DataFrame, splits: Sequence[float], by: Sequence[str] = (), kind: str = "kll") -> DataFrame:
+    """(by..., pmf): shares between the splits."""
+    if kind == "ddsketch":
+        return ddsketch_pmf()
+    return compactor_query(state, by, splits=splits).select(*by, "pmf")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..compat import agreed, stamp
 from ..errors import check
 from ..functions.hashing import GOLDEN, MASK, hash64, signed, splitmix64, splitmix64_np
 from .cardinality import union_all
@@ -60,7 +61,8 @@ def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, h
 
     rows = df.where(F.col(key).isNotNull()).select(hash64(key, strategy).alias("k"), (hash64(value, strategy) if value else F.lit(0).cast("long")).alias("v"))
     spread = rows.select("k", "v", checks("k").alias("c"), F.explode(_places(cells, hashes, seed)("k")).alias("cell"))
-    return spread.groupBy("cell").agg((F.count("*") * sign).alias("count"), F.bit_xor("k").alias("key_sum"), F.bit_xor("v").alias("value_sum"), F.bit_xor("c").alias("check_sum"))
+    table = spread.groupBy("cell").agg((F.count("*") * sign).alias("count"), F.bit_xor("k").alias("key_sum"), F.bit_xor("v").alias("value_sum"), F.bit_xor("c").alias("check_sum"))
+    return stamp(table, family="iblt", cells=cells, hashes=hashes, seed=seed, hash=strategy)
 
 
 def iblt_member(state: DataFrame, probes: DataFrame, col: str, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64") -> DataFrame:
@@ -71,7 +73,9 @@ def iblt_member(state: DataFrame, probes: DataFrame, col: str, cells: int = 1000
 
 
 def iblt_merge(states: Sequence[DataFrame]) -> DataFrame:
-    return union_all(states).groupBy("cell").agg(F.sum("count").alias("count"), *(F.bit_xor(c).alias(c) for c in ("key_sum", "value_sum", "check_sum")))
+    """Cells add up.  Tables of another size, seed or hash raise."""
+    built = agreed(states, family="iblt")
+    return stamp(union_all(states).groupBy("cell").agg(F.sum("count").alias("count"), *(F.bit_xor(c).alias(c) for c in ("key_sum", "value_sum", "check_sum"))), **built)
 
 
 def iblt_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -83,6 +87,8 @@ def iblt_list(state: DataFrame, cells: int = 1000, hashes: int = 3, seed: int =
 
     A table has a fixed number of cells, 2^24 at most, so peeling it is one bounded task."""
 
+    agreed([state], family="iblt", cells=cells, hashes=hashes, seed=seed)
+
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
         table = {int(c): [int(n), int(k) & MASK, int(v) & MASK, int(x)] for c, n, k, v, x in pdf[["cell", "count", "key_sum", "value_sum", "check_sum"]].itertuples(index=False)}
         ready, out = list(table), []

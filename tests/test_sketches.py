@@ -6,11 +6,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sketchspark import codec
+from sketchspark import codec, compat
 from sketchspark.errors import DeserializationError, IncompatibleSketches, InvalidChainComposition, InvalidOption, UnsupportedOperation
 from sketchspark.functions.hashing import murmur3_128
 from sketchspark.operators import cardinality as card
+from sketchspark.operators import frequency as freq
 from sketchspark.operators import membership as mem
+from sketchspark.operators import quantile as quant
+from sketchspark.operators import reconcile as rec
 from sketchspark.operators.frequency import misra_gries_fold, space_saving
 from sketchspark.operators.quantile import CompactorSketch
 
@@ -112,3 +115,50 @@ def test_stream_registers(spark, tmp_path):
     closed = got.select("window_start").distinct().count()
     assert closed == 3  # the last window is still open
     assert got.exceptAll(want).count() == 0
+
+
+def test_states_of_other_parameters_do_not_merge(spark):
+    df = spark.range(100).selectExpr("cast(id as string) item", "cast(id as double) v")
+    pairs = [
+        (card.merge_registers, [card.hll(df, "item", p=10), card.hll(df, "item", p=14)]),
+        (card.merge_registers, [card.hll(df, "item"), card.hll(df, "item", strategy="xxhash64")]),
+        (card.merge_registers, [card.hll(df, "item"), card.ull(df, "item")]),
+        (lambda x: card.theta_merge(x, k=64), [card.theta(df, "item", k=64), card.theta(df, "item", k=128)]),
+        (freq.cms_merge, [freq.cms(df, "item", width=10), freq.cms(df, "item", width=20)]),
+        (freq.misra_gries_merge, [freq.misra_gries(df, "item"), freq.misra_gries(df, "item", k=3)]),
+        (quant.ddsketch_merge, [quant.ddsketch(df, "v"), quant.ddsketch(df, "v", alpha=0.1)]),
+        (mem.bloom_merge, [mem.bloom(df, "item"), mem.bloom(df, "item", capacity=5)]),
+        (mem.quotient_merge, [mem.quotient(df, "item"), mem.quotient(df, "item", r=9)]),
+        (mem.cqf_merge, [mem.cqf(df, "item"), mem.cqf(df, "item", q=9)]),
+        (rec.iblt_merge, [rec.iblt(df, "item"), rec.iblt(df, "item", seed=1)]),
+    ]
+    for merge, states in pairs:
+        with pytest.raises(IncompatibleSketches):
+            merge(states)
+        merge(states[:1] * 2)
+        assert not compat.compatible(*states)
+    with pytest.raises(IncompatibleSketches):
+        card.hll_estimate(card.hll(df, "item", p=10))
+    with pytest.raises(IncompatibleSketches):
+        mem.bloom_member(mem.bloom(df, "item"), df, "item", capacity=5)
+    with pytest.raises(UnsupportedOperation):
+        quant.cdf(quant.sketch(df, "v", kind="ddsketch"), [1.0], kind="ddsketch")
+
+
+def test_parameters_survive_parquet(spark, tmp_path):
+    df = spark.range(100).selectExpr("cast(id as string) item")
+    card.hll(df, "item", p=10).write.parquet(str(tmp_path / "s"))
+    assert compat.built_with(spark.read.parquet(str(tmp_path / "s")))["p"] == 10
+
+
+def test_theta_folds_before_the_exchange(spark):
+    """Far more distinct hashes than entries, in groups and alone: the same entries as by a plain sort."""
+    df = spark.range(0, 60_000, 1, 7).selectExpr("cast(id as string) item", "if(id % 5 = 0, null, id % 3) g")
+    for by in ([], ["g"]):
+        got = card.theta(df, "item", by, k=64).toPandas()
+        every = df.select(*by, card.hash64("item").alias("h")).toPandas()
+        every["u"] = every.h.to_numpy().astype("int64").view("uint64")
+        for name, part in every.groupby(by, dropna=False) if by else [(None, every)]:
+            mine = got if not by else got[got.g.isna()] if name[0] != name[0] else got[got.g == name[0]]
+            assert sorted(mine.hash.to_numpy().astype("int64").view("uint64")) == sorted(part.u)[:64]
+            assert set(mine.theta.to_numpy().astype("int64").view("uint64")) == {sorted(part.u)[64]}
