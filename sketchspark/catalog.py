@@ -361,12 +361,12 @@ def fi_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return state.join(exact, "item").agg(F.count("*").alias("entries"), F.count(F.when((F.col("lower") > F.col("n")) | (F.col("upper") < F.col("n")), 1)).alias("wrong"))
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey, true AS tracked, count(*) AS estimate, CAST(0 AS BIGINT) AS error FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1 UNION ALL SELECT 'nobody', false, NULL, NULL")
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey, true AS tracked, count(*) AS estimate, CAST(0 AS BIGINT) AS error FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1 UNION ALL SELECT 'nobody', false, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT)")
 def fi_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    """Look-ups in a state that holds every item, and of one that it never saw."""
+    """Look-ups in a state that holds every item, and of one that it never saw (null there, -1 here)."""
     items = read(spark, sf, "lineitem", "l_suppkey")
     asked = items.where("l_suppkey % 3 = 0").select(F.col("l_suppkey").cast("string").alias("l_suppkey")).unionAll(spark.sql("SELECT 'nobody'"))
-    return freq.frequent_estimate(freq.frequent_items(items, "l_suppkey", k=100_000), asked, "l_suppkey").select("l_suppkey", "tracked", "estimate", "error")
+    return freq.frequent_estimate(freq.frequent_items(items, "l_suppkey", k=100_000), asked, "l_suppkey").select("l_suppkey", "tracked", F.coalesce("estimate", F.lit(-1)).cast("long").alias("estimate"), F.coalesce("error", F.lit(-1)).cast("long").alias("error"))
 
 
 @query("SELECT CAST(30 AS BIGINT) AS entries, CAST(0 AS BIGINT) AS wrong, true AS evicted")
