@@ -15,7 +15,7 @@ from sketchspark.llm import queries
 from sketchspark.llm.decontaminate import decontaminate
 from sketchspark.llm.elias_fano import Boundaries, encode_boundaries, token_shards
 from sketchspark.llm.language_id import CompressionClassifier, canonical, identify
-from sketchspark.llm.line_dedup import Split, _near, blocks, line_dedup, normalise, signs, within_edits
+from sketchspark.llm.line_dedup import Split, _beyond, _near, blocks, line_dedup, normalise, signs, within_edits
 from sketchspark.llm.ngram_join import ngram_jaccard_join, signatures
 from sketchspark.llm.packing import best_fit, best_fit_pack
 from sketchspark.llm.suffix_dedup import suffix_dedup
@@ -239,6 +239,51 @@ def test_line_candidates_recall_of_small_edits():
         assert np.mean(shares_a_block(pairs)) >= 0.9, words
 
 
+def random_words(rng, count):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(count)]
+
+
+def test_common_words_are_no_block():
+    """Lines that share but their first and last words don't meet: their pairs would grow with the square of the input."""
+    rng = random.Random(8)
+    lines = [" ".join(["of", "the", *random_words(rng, rng.randrange(14, 60)), "and", "the"]).encode() for _ in range(300)]
+    assert np.unique(blocks(Split(lines))[1], return_counts=True)[1].max() == 1
+
+
+def test_line_dedup_of_spread_edits(spark):
+    """Every tenth word replaced: edit similarity above 0.8, but SimHashes up to 30 bits apart."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        line = random_words(rng, 90)
+        other = list(line)
+        for k in rng.sample(range(90), 9):
+            other[k] = random_words(rng, 1)[0]
+        rows += [(i, " ".join(line)), (100 + i, " ".join(other))]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: t if d < 100 else "" for d, t in rows}
+
+
+def test_pieces_bound_the_edits():
+    rng = random.Random(10)
+    texts = []
+    for _ in range(300):
+        line = [rng.choice("abcdefgh é日") for _ in range(rng.randrange(1, 400))]
+        other = list(line)
+        for _ in range(rng.randrange(len(line) // 3 + 1)):
+            k = rng.randrange(len(other) + 1)
+            other[k : k + rng.randrange(2)] = rng.choice(["", "a", "日"])
+        texts += ["".join(line), "".join(other) or "x"]
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    letters = (np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) & 31).astype(np.uint8)
+    a = np.arange(0, 600, 2)
+    b = np.r_[a[:200] + 1, a[200:][::-1]]
+    most = np.array([int(max(len(texts[i]), len(texts[j])) * 0.2 + 1e-9) for i, j in zip(a, b, strict=True)])
+    far = _beyond(letters, at, a, b, most, few=1)
+    close = np.array([within_edits(texts[i], texts[j], int(m)) for i, j, m in zip(a, b, most, strict=True)])
+    assert far.any() and close.any() and not (far & close).any()
+
+
 def test_line_dedup_clashing_names(spark):
     rows = [(1, "one same line of text\nx", 7, 8, 9, 10, "a", "b"), (2, "one same line of text", 7, 8, 9, 10, "a", "b")]
     names = "doc_id long, text string, n_lines int, _n_lines int, dropped int, _id int, row string, kept string"
