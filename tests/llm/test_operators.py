@@ -11,11 +11,12 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import sketchspark.llm.line_dedup as line_dedup_module
 from sketchspark.llm import queries
 from sketchspark.llm.decontaminate import decontaminate
 from sketchspark.llm.elias_fano import Boundaries, encode_boundaries, token_shards
 from sketchspark.llm.language_id import CompressionClassifier, canonical, identify
-from sketchspark.llm.line_dedup import Split, _beyond, _near, blocks, line_dedup, normalise, signs, within_edits
+from sketchspark.llm.line_dedup import Split, _beyond, _near, _spanning, blocks, line_dedup, normalise, signs, within_edits
 from sketchspark.llm.ngram_join import ngram_jaccard_join, signatures
 from sketchspark.llm.packing import best_fit, best_fit_pack
 from sketchspark.llm.suffix_dedup import suffix_dedup
@@ -284,6 +285,43 @@ def test_pieces_bound_the_edits():
     assert far.any() and close.any() and not (far & close).any()
 
 
+def test_bit_vectors_are_exact():
+    """No pair of plain letters is left to be verified one by one, whichever of the two is longer."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(400):
+        line = [rng.choice("abcdefgh ij") for _ in range(rng.randrange(1, 420))]
+        other = list(line)
+        for _ in range(rng.randrange(len(line) // 3 + 1)):
+            k = rng.randrange(len(other) + 1)
+            other[k : k + rng.randrange(2)] = rng.choice(["", "a", "c"])
+        cut = rng.randrange(30) * rng.randrange(2)
+        texts += ["".join(line), "".join(other[cut:]) + "c" * rng.randrange(cut + 1) or "x"]
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    letters = (np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) & 31).astype(np.uint8)
+    a = np.r_[0:800:2, 1:800:2]
+    most = np.array([int(max(len(texts[i]), len(texts[i ^ 1])) * 0.2 + 1e-9) for i in a])
+    far = _beyond(letters, at, a, a ^ 1, most, few=1)
+    close = np.array([within_edits(texts[i], texts[i ^ 1], int(m)) for i, m in zip(a, most, strict=True)])
+    assert far.any() and close.any() and (far != close).all()
+
+
+def test_cells_are_verified_together(monkeypatch):
+    """Unrelated lines that share five words are told apart in a few batches, not cell by cell or pair by pair."""
+    rng, calls = random.Random(12), collections.Counter()
+    for name in ("_beyond", "within_edits"):
+        monkeypatch.setattr(line_dedup_module, name, lambda *x, f=getattr(line_dedup_module, name), name=name: calls.update([name]) or f(*x))
+    cells, texts = np.repeat(np.arange(20), 70), []
+    for _ in range(20):
+        shared = random_words(rng, 5)
+        texts += [" ".join([*random_words(rng, 15), *shared, *random_words(rng, 20)]) for _ in range(68)]
+        texts += [texts[-1] + " more", texts[-2] + " less"]
+    sim, size = signs(Split([t.encode() for t in texts]))
+    links = list(_spanning(cells, list(range(20)), texts, sim, size, [[int(c)] for c in cells], 0.8, 20))
+    assert sorted(map(sorted, links)) == sorted(sorted(x) for c in range(20) for x in ((70 * c + 67, 70 * c + 68), (70 * c + 66, 70 * c + 69)))
+    assert calls["_beyond"] <= 60 and calls["within_edits"] <= 400
+
+
 def test_line_dedup_clashing_names(spark):
     rows = [(1, "one same line of text\nx", 7, 8, 9, 10, "a", "b"), (2, "one same line of text", 7, 8, 9, 10, "a", "b")]
     names = "doc_id long, text string, n_lines int, _n_lines int, dropped int, _id int, row string, kept string"
