@@ -110,14 +110,19 @@ def tau(x: float) -> float:
 
 
 def ull_from_histogram(counts: dict[int, int], p: int) -> float:
-    """The estimate from how many registers hold each value; registers that aren't counted are zero."""
-    m, top = 1 << p, 2 * (64 - p + 1)
+    """The estimate from how many registers hold each value; registers that aren't counted are zero.
+
+    A value 2 rank - 1 or 2 rank stands for a probability of 2^-rank, so the sum goes over ranks."""
+    m, top = 1 << p, 64 - p + 1
     zeros = m - sum(counts.values())
     if zeros == m:
         return 0.0
-    z = m * tau(1 - counts.get(top, 0) / m)
+    ranks = [0] * (top + 1)
+    for value, n in counts.items():
+        ranks[(value + 1) // 2] += n
+    z = m * tau(1 - ranks[top] / m)
     for k in range(top - 1, 0, -1):
-        z = (z + counts.get(k, 0)) * 0.5
+        z = (z + ranks[k]) * 0.5
     z += m * sigma(zeros / m)
     return m * m / (2 * math.log(2) * z) if z else 0.0
 

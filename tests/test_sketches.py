@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,3 +163,15 @@ def test_theta_folds_before_the_exchange(spark):
             mine = got if not by else got[got.g.isna()] if name[0] != name[0] else got[got.g == name[0]]
             assert sorted(mine.hash.to_numpy().astype("int64").view("uint64")) == sorted(part.u)[:64]
             assert set(mine.theta.to_numpy().astype("int64").view("uint64")) == {sorted(part.u)[64]}
+
+
+def test_ull_estimate_of_many():
+    """Far beyond the registers: values stand for ranks, so the estimate stays within five standard errors."""
+    m, rng = 1 << 12, np.random.default_rng(5)
+    for n in (10_000, 100_000, 1_000_000, 10_000_000):
+        h = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        rank = 52 - np.floor(np.log2(np.maximum(h & np.uint64((1 << 52) - 1), np.uint64(1)).astype(float))).astype(int)
+        top = np.zeros(m, int)
+        np.maximum.at(top, (h >> np.uint64(52)).astype(int), rank)
+        values, counts = np.unique(2 * top[top > 0] - 1, return_counts=True)
+        assert card.ull_from_histogram(dict(zip(values.tolist(), counts.tolist(), strict=True)), 12) == pytest.approx(n, rel=5 * 1.04 / 64)
