@@ -92,6 +92,9 @@ class CompactorSketch:
         self.parity = [0, 0]
 
     def capacity(self, level: int) -> int:
+        """KLL's lower levels shrink; those of REQ, which compact a part only, hold three sections of 2 k values each."""
+        if self.kind != "kll":
+            return 6 * self.k
         return max(2, math.floor(self.k * (2 / 3) ** (len(self.levels) - 1 - level)) + 1)
 
     def update(self, values: Sequence[float]) -> None:
@@ -112,9 +115,12 @@ class CompactorSketch:
 
     def _compact(self, level: int) -> None:
         while level < len(self.levels) - 1 and len(self.levels[level]) >= self.capacity(level):
-            found = sorted(self.levels[level])
-            half = len(found) // 2
-            stay, part = ([], found) if self.kind == "kll" else (found[half:], found[:half]) if self.kind == "req_high" else (found[: len(found) - half], found[len(found) - half :])
+            # an even number goes up, so that the weights still add up to n; of an odd one KLL keeps what came first
+            found = self.levels[level]
+            odd = found[-1:] if self.kind == "kll" and len(found) % 2 else []
+            found = sorted(found[: len(found) - len(odd)])
+            half = max(2, len(found) // 2 & ~1)
+            stay, part = (odd, found) if self.kind == "kll" else (found[half:], found[:half]) if self.kind == "req_high" else (found[: len(found) - half], found[len(found) - half :])
             self.levels[level] = stay
             self.levels[level + 1] = part[self.parity[level] :: 2] + self.levels[level + 1]
             self.parity[level] ^= 1
@@ -140,7 +146,7 @@ class CompactorSketch:
         depth = max(len(self.levels), len(other.levels))
         pad = lambda x, empty: x + [empty() for _ in range(depth - len(x))]
         out.levels = [a + b for a, b in zip(pad(self.levels, list), pad(other.levels, list), strict=True)]
-        out.parity = [a | b for a, b in zip(pad(self.parity, int), pad(other.parity, int), strict=True)]
+        out.parity = [a ^ b for a, b in zip(pad(self.parity, int), pad(other.parity, int), strict=True)]
         out._sweep()
         out._grow()
         return out

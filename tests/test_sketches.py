@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sketchspark import codec, compat
+from sketchspark import catalog, codec, compat
 from sketchspark.errors import DeserializationError, IncompatibleSketches, InvalidChainComposition, InvalidOption, UnsupportedOperation
 from sketchspark.functions.hashing import murmur3_128
 from sketchspark.operators import cardinality as card
@@ -175,3 +175,28 @@ def test_ull_estimate_of_many():
         np.maximum.at(top, (h >> np.uint64(52)).astype(int), rank)
         values, counts = np.unique(2 * top[top > 0] - 1, return_counts=True)
         assert card.ull_from_histogram(dict(zip(values.tolist(), counts.tolist(), strict=True)), 12) == pytest.approx(n, rel=5 * 1.04 / 64)
+
+
+@pytest.mark.parametrize(("kind", "k", "most"), [("kll", 200, 0.02), ("req_high", 32, 0.03)])
+def test_compactors_keep_weights_and_ranks(kind, k, most):
+    """Weights add up to n and ranks stay close, in one sketch and in many merged ones, whatever the order."""
+    values = np.random.default_rng(3).permutation(120_000).astype(float)
+    for order in (values, np.sort(values), np.repeat(values[::20], 20)):
+        one, parts = CompactorSketch(k, kind), [CompactorSketch(k, kind) for _ in range(24)]
+        one.update(order)
+        for i, part in enumerate(parts):
+            part.update(order[i::24])
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.merge(part)
+        for s in (one, whole):
+            assert s.view()[1][-1] == s.n == len(order)
+            for q in (0.1, 0.5, 0.9, 0.99):
+                assert (np.asarray(order) <= s.quantile(q)).mean() == pytest.approx(q, abs=most)
+
+
+@pytest.mark.parametrize("name", ["kll_rank_error", "req_rank_error"])
+def test_rank_errors_broadcast_the_answers(name, spark, sf):
+    """The side that is sent through the driver is named, not left to estimates of sizes."""
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight, Inner" in plan and "LeftOuter" not in plan
