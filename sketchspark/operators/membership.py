@@ -1,7 +1,8 @@
 """Membership filters as rows of positions or fingerprints, Xor filters as bytes, and chains.
 
-Probing is a join, so many items are asked at once; a filter side is broadcast by Spark only
-under its own size limit.  Nulls are neither put nor members.
+Probing is a sort-merge join, so many items are asked at once: Spark's estimate of a state's size
+knows nothing of the positions an item is spread over, and would broadcast large states by way of
+the driver.  Nulls are neither put nor members.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def bloom_member(state: DataFrame, probes: DataFrame, col: str, capacity: int =
     bits, k = bloom_size(capacity, fpr)
     agreed([state], family="bloom", bits=bits, hashes=k, hash=strategy)
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, F.explode(F.array_distinct(_bloom_positions(F.col("_h"), bits, k))).alias("pos"))
-    return asked.join(state.withColumn("_set", F.lit(1)), "pos", "left").groupBy(col).agg((F.count("_set") == F.count("*")).alias("member"))
+    return asked.join(state.withColumn("_set", F.lit(1)).hint("merge"), "pos", "left").groupBy(col).agg((F.count("_set") == F.count("*")).alias("member"))
 
 
 def bloom_merge(states: Sequence[DataFrame]) -> DataFrame:
@@ -77,7 +78,7 @@ def quotient(df: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "
 def quotient_member(state: DataFrame, probes: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
     agreed([state], family="quotient", q=q, r=r, hash=strategy)
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, *_quotient(F.col("_h"), q, r))
-    return asked.join(state.select("q", "r").withColumn("_in", F.lit(True)), ["q", "r"], "left").select(col, F.coalesce("_in", F.lit(False)).alias("member"))
+    return asked.join(state.select("q", "r").withColumn("_in", F.lit(True)).hint("merge"), ["q", "r"], "left").select(col, F.coalesce("_in", F.lit(False)).alias("member"))
 
 
 def quotient_delete(state: DataFrame, items: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
@@ -100,7 +101,7 @@ def cqf_count(state: DataFrame, probes: DataFrame, col: str, q: int = 16, r: int
     """(col, estimate): never under the true count."""
     agreed([state], family="cqf", q=q, r=r, hash=strategy)
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, *_quotient(F.col("_h"), q, r))
-    return asked.join(state, ["q", "r"], "left").select(col, F.coalesce("count", F.lit(0)).alias("estimate"))
+    return asked.join(state.hint("merge"), ["q", "r"], "left").select(col, F.coalesce("count", F.lit(0)).alias("estimate"))
 
 
 def cqf_delete(state: DataFrame, items: DataFrame, col: str, q: int = 16, r: int = 8, strategy: str = "md5_64") -> DataFrame:
@@ -149,7 +150,7 @@ def cuckoo(df: DataFrame, col: str, capacity: int = 10_000, bits: int = 8, slots
 
 def cuckoo_member(state: DataFrame, probes: DataFrame, col: str, capacity: int = 10_000, bits: int = 8, slots: int = 4, strategy: str = "md5_64") -> DataFrame:
     asked = _hashes(probes.select(col).distinct(), col, strategy).select(col, *_cuckoo(F.col("_h"), cuckoo_buckets(capacity, slots), bits))
-    return asked.join(state, ["pair", "fp"], "left").select(col, F.col("count").isNotNull().alias("member"))
+    return asked.join(state.hint("merge"), ["pair", "fp"], "left").select(col, F.col("count").isNotNull().alias("member"))
 
 
 def cuckoo_delete(state: DataFrame, items: DataFrame, col: str, capacity: int = 10_000, bits: int = 8, slots: int = 4, strategy: str = "md5_64") -> DataFrame:
@@ -285,7 +286,7 @@ class FilterChain:
         asked = probes.select(col).where(F.col(col).isNotNull()).distinct().withColumn("member", F.lit(True))
         for stage in self.stages:
             said = stage.member(stage.state, probes, col).withColumnRenamed("member", "_m")
-            asked = asked.join(said, col).select(col, (F.col("member") & F.col("_m")).alias("member"))
+            asked = asked.join(said.hint("merge"), col).select(col, (F.col("member") & F.col("_m")).alias("member"))
         return asked
 
     def put(self, items: DataFrame, col: str) -> FilterChain:

@@ -200,3 +200,9 @@ def test_rank_errors_broadcast_the_answers(name, spark, sf):
     """The side that is sent through the driver is named, not left to estimates of sizes."""
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "BuildRight, Inner" in plan and "LeftOuter" not in plan
+
+
+def test_filter_chain_broadcasts_no_state(spark, sf):
+    """Bits and fingerprints of all items must not be sent through the driver, however small Spark takes them for."""
+    plan = catalog.QUERIES["filter_chain"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
