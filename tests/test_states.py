@@ -146,3 +146,22 @@ def test_iblt_member_and_chain_count(spark):
     assert chain.count() == 150
     adjoined = chain.adjoin(table)
     assert len(adjoined.adjuncts) == 1 and len(adjoined.put(df, "item").adjuncts) == 1
+
+
+def test_more_fingerprints_than_slots(spark):
+    """Filters that one frame can't hold take several, and nothing is lost; smaller groups keep one frame."""
+    df = spark.range(3000).selectExpr("if(id < 2900, 'a', null) grp", "cast(id % 1450 as string) item").cache()
+    per = lambda f: f(df.where("grp = 'a'")).withColumn("grp", F.lit("a")).unionByName(f(df.where("grp IS NULL")).withColumn("grp", F.lit(None).cast("string")))
+    for family, rows, options in (
+        ("quotient", per(lambda d: mem.quotient(d, "item", 8, 32)), {"q": 8, "r": 32}),
+        ("cqf", per(lambda d: mem.cqf(d, "item", 8, 32)), {"q": 8, "r": 32}),
+        ("cuckoo", per(lambda d: mem.cuckoo(d, "item", 300, 16)), {"capacity": 300, "bits": 16}),
+        ("cqf", spark.sql("SELECT 'a' AS grp, 1L AS q, 2L AS r, 900L AS count"), {"q": 8, "r": 32}),
+    ):
+        frames = states.to_frames(rows, family, ["grp"], **options).cache()
+        assert frames.where("grp = 'a'").count() > 1 and frames.where("grp IS NULL").count() <= 1
+        again = states.from_frames(frames, family, ["grp"]).select(*rows.columns)
+        assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect())), family
+        one = rows.where("grp = 'a'").drop("grp")
+        plain = states.from_frames(states.to_frames(one, family, **options), family).select(*one.columns)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, one.collect())), family
