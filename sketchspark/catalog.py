@@ -540,13 +540,12 @@ def doc_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def iblt_list_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Two replicas that each miss some orders, told apart from their tables' difference."""
+    """Two replicas that each miss some orders, told apart from their tables' difference, in as many tables as it takes."""
     from .functions.hashing import unsigned
 
     orders = read(spark, sf, "orders", "o_orderkey")
     a, b = orders.where("o_orderkey % 103 <> 1"), orders.where("o_orderkey % 101 <> 0")
-    tables = [rec.iblt(x, "o_orderkey", cells=20_000) for x in (a, b)]
-    return rec.iblt_list(rec.iblt_subtract(*tables), cells=20_000).select("side", unsigned(F.col("key_hash")).cast("string").alias("hash"))
+    return rec.iblt_difference(a, b, "o_orderkey", cells=20_000).select("side", unsigned(F.col("key_hash")).cast("string").alias("hash"))
 
 
 ORACLE_SQL["iblt_list_entries"] = f"SELECT CAST(1 AS INTEGER) AS side, CAST({_h('o_orderkey')} AS VARCHAR) AS hash FROM orders WHERE o_orderkey % 101 = 0 AND o_orderkey % 103 <> 1 UNION ALL SELECT CAST(-1 AS INTEGER), CAST({_h('o_orderkey')} AS VARCHAR) FROM orders WHERE o_orderkey % 103 = 1 AND o_orderkey % 101 <> 0"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -51,9 +52,12 @@ def _places(cells: int, hashes: int, seed: int) -> Callable[[str], Column]:
     return places
 
 
-def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64", sign: int = 1) -> DataFrame:
-    """(cell, count, key_sum, value_sum, check_sum): sums of signs, xors of key and value hashes and of checks."""
+def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64", sign: int = 1, shards: int = 1) -> DataFrame:
+    """(cell, count, key_sum, value_sum, check_sum): sums of signs, xors of key and value hashes and of checks.
+
+    ``shards`` tables of ``cells`` cells each, one after another, to which keys are dealt by their hash."""
     check(1 <= cells <= 1 << 24 and 1 <= hashes <= 10, "cells must be 1 to 2^24, hashes 1 to 10")
+    check(1 <= shards and shards * cells < 1 << 31, "there are less than 2^31 cells in all shards")
 
     @F.pandas_udf("long")
     def checks(h: pd.Series) -> pd.Series:
@@ -61,8 +65,10 @@ def iblt(df: DataFrame, key: str, value: str | None = None, cells: int = 1000, h
 
     rows = df.where(F.col(key).isNotNull()).select(hash64(key, strategy).alias("k"), (hash64(value, strategy) if value else F.lit(0).cast("long")).alias("v"))
     spread = rows.select("k", "v", checks("k").alias("c"), F.explode(_places(cells, hashes, seed)("k")).alias("cell"))
+    if shards > 1:
+        spread = spread.withColumn("cell", (F.pmod(F.xxhash64("k"), F.lit(shards)) * cells + F.col("cell")).cast("int"))
     table = spread.groupBy("cell").agg((F.count("*") * sign).alias("count"), F.bit_xor("k").alias("key_sum"), F.bit_xor("v").alias("value_sum"), F.bit_xor("c").alias("check_sum"))
-    return stamp(table, family="iblt", cells=cells, hashes=hashes, seed=seed, hash=strategy)
+    return stamp(table, family="iblt", cells=cells, hashes=hashes, seed=seed, hash=strategy, shards=shards)
 
 
 def iblt_member(state: DataFrame, probes: DataFrame, col: str, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64") -> DataFrame:
@@ -82,15 +88,38 @@ def iblt_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return iblt_merge([a, b.withColumn("count", -F.col("count"))])
 
 
-def iblt_list(state: DataFrame, cells: int = 1000, hashes: int = 3, seed: int = 0) -> DataFrame:
-    """(side, key_hash, value_hash) of all entries, side 1 or -1; one row with side 0 if it can't be decoded.
+def iblt_difference(a: DataFrame, b: DataFrame, key: str, value: str | None = None, cells: int = 1000, hashes: int = 3, seed: int = 0, strategy: str = "md5_64") -> DataFrame:
+    """(side, key_hash, value_hash) of the keys that only one of a and b has, side 1 or -1, however many they are.
+
+    The difference starts as one table.  Empty cells tell how many keys it holds; while they are too many
+    to decode, it is built again in as many shards as hold them at a load of 0.6 keys a cell.  Keys that
+    can't be decoded at any load (more than one of a key on a side) leave a row with side 0 in their shard."""
+    shards = 1
+    while True:
+        table = iblt_subtract(*(iblt(x, key, value, cells, hashes, seed, strategy, shards=shards) for x in (a, b))).persist()
+        size = cells * shards
+        used = table.where("count <> 0 OR key_sum <> 0 OR value_sum <> 0 OR check_sum <> 0").count()
+        keys = -math.log(max(size - used, 0.5) / size) * size / hashes
+        most = keys > 0.6 * size
+        listed = iblt_list(table, cells, hashes, seed, shards)
+        if not most and (keys < 0.15 * size and shards > 1 or listed.where("side = 0").isEmpty()):
+            return listed
+        following = max(2 * shards, math.ceil(keys / (0.6 * cells)))
+        if following * cells >= 1 << 31:
+            return listed
+        table.unpersist()
+        shards = following
+
+
+def iblt_list(state: DataFrame, cells: int = 1000, hashes: int = 3, seed: int = 0, shards: int = 1) -> DataFrame:
+    """(side, key_hash, value_hash) of all entries, side 1 or -1; one row with side 0 for a shard that can't be decoded.
 
-    A table has a fixed number of cells, 2^24 at most, so peeling it is one bounded task."""
+    A shard has a fixed number of cells, 2^24 at most, so peeling it is one bounded task."""
 
-    agreed([state], family="iblt", cells=cells, hashes=hashes, seed=seed)
+    agreed([state], family="iblt", cells=cells, hashes=hashes, seed=seed, shards=shards)
 
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {int(c): [int(n), int(k) & MASK, int(v) & MASK, int(x)] for c, n, k, v, x in pdf[["cell", "count", "key_sum", "value_sum", "check_sum"]].itertuples(index=False)}
+        table = {int(c) % cells: [int(n), int(k) & MASK, int(v) & MASK, int(x)] for c, n, k, v, x in pdf[["cell", "count", "key_sum", "value_sum", "check_sum"]].itertuples(index=False)}
         ready, out = list(table), []
         while ready:
             at = ready.pop()
@@ -109,4 +138,4 @@ def iblt_list(state: DataFrame, cells: int = 1000, hashes: int = 3, seed: int =
             out = [(0, None, None)]
         return pd.DataFrame(out, columns=["side", "key_hash", "value_hash"]).astype({"side": "int32", "key_hash": "Int64", "value_hash": "Int64"})
 
-    return state.groupBy(F.lit(0).alias("_one")).applyInPandas(peel, "side int, key_hash long, value_hash long")
+    return state.groupBy(F.floor(F.col("cell") / cells).alias("_shard")).applyInPandas(peel, "side int, key_hash long, value_hash long")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sketchspark import catalog, codec, compat
 from sketchspark.errors import DeserializationError, IncompatibleSketches, InvalidChainComposition, InvalidOption, UnsupportedOperation
-from sketchspark.functions.hashing import murmur3_128
+from sketchspark.functions.hashing import hash64, murmur3_128
 from sketchspark.operators import cardinality as card
 from sketchspark.operators import frequency as freq
 from sketchspark.operators import membership as mem
@@ -206,3 +206,14 @@ def test_filter_chain_broadcasts_no_state(spark, sf):
     """Bits and fingerprints of all items must not be sent through the driver, however small Spark takes them for."""
     plan = catalog.QUERIES["filter_chain"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_iblt_lists_more_keys_than_cells(spark):
+    """A difference that one table can't hold is told whole; repeated keys, which no table tells, end with side 0."""
+    a, b = spark.range(0, 900).toDF("k"), spark.range(300, 1000).toDF("k")
+    told = sorted(tuple(r) for r in rec.iblt_difference(a, b, "k", cells=50).select("side", "key_hash").collect())
+    hashed = lambda df: [r[0] for r in df.select(hash64("k")).collect()]
+    assert told == sorted([(1, h) for h in hashed(spark.range(300).toDF("k"))] + [(-1, h) for h in hashed(spark.range(900, 1000).toDF("k"))])
+    assert [r.side for r in rec.iblt_difference(a.unionAll(a.where("k = 5")), a, "k", cells=50).collect()] == [1]
+    assert {r.side for r in rec.iblt_difference(a.unionAll(a.where("k = 5")), b.where("k <> 5"), "k", cells=50).collect()} >= {0, 1, -1}
+    assert rec.iblt_difference(a, a, "k", cells=50).isEmpty()
